@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,17 +31,43 @@ def first_label(labels: Column) -> Column:
     return F.try_element_at(labels, F.lit(1))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, not once per mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Class scores as probabilities; the largest score is taken off first."""
-    weights = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    return F.transform(weights, lambda w: w / total)
+
+    def scaled(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+        return _let(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    def weighed(s: Column) -> Column:
+        return _let(F.array_max(s), lambda top: F.transform(s, lambda v: F.exp(v - top)))
+
+    return _let(scores, lambda s: _let(weighed(s), scaled))
 
 
 def best_label(scores: Column, labels: Column) -> Column:
     """The label of the largest value; on equal values the first one."""
-    place = F.array_position(scores, F.array_max(scores)).cast("int")
-    return F.element_at(labels, place)
+
+    def pick(s: Column) -> Column:
+        return F.element_at(labels, F.array_position(s, F.array_max(s)).cast("int"))
+
+    return _let(scores, pick)
+
+
+def best_probability(scores: Column) -> Column:
+    """The probability of the largest score."""
+
+    def top(s: Column) -> Column:
+        def total(best: Column) -> Column:
+            return F.aggregate(s, F.lit(0.0), lambda acc, v: acc + F.exp(v - best))
+
+        return 1 / _let(F.array_max(s), total)
+
+    return _let(scores, top)
 
 
 def answer_labels(answer: Column, labels: Iterable[str], whole_word: bool = False) -> Column:

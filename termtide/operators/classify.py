@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.functions.labels import best_label, label_array, softmax
+from termtide.functions.labels import best_label, best_probability, label_array
 from termtide.functions.text import words_of
 
 # The pseudo word every text has once; its weights are the class priors.
@@ -158,13 +158,12 @@ def apply_naive_bayes(
     values = F.array(*[F.col(f"s{i}") for i in range(len(model.labels))])
     return (
         scores.withColumn("_s", values)
-        .withColumn("_p", softmax(F.col("_s")))
         .select(
             "dictionary",
             "id",
             *carry,
             best_label(F.col("_s"), label_array(model.labels)).alias("label_out"),
-            F.array_max("_p").alias("prob_out"),
+            best_probability(F.col("_s")).alias("prob_out"),
         )
     )
 

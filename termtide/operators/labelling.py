@@ -1,7 +1,7 @@
 """Joins of dictionary words with a lexicon, its label tree and term lists.
 
-No side is broadcast by hint here: lexicons may grow with the data, so the
-choice is left to the optimizer, which goes by the measured size. Where the
+Lexicons and term lists are not broadcast by hint, as they may grow with the
+data: the choice is left to the optimizer, which goes by the measured size. Where the
 join is shuffled, a word that holds a large share of the entries makes one long
 partition on the entries' side only (the other side has one row per word), and
 adaptive execution splits it.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termtide.functions.labels import first_label, label_array, strip_wildcard
+from termtide.session import local_table
 
 _KEY = "_key"
 
@@ -206,10 +207,10 @@ def rollup_lexicon(
     A label the hierarchy does not know fails the job; without a hierarchy
     labels that are not used are dropped.
     """
-    spark = lexicon.sparkSession
-    used = spark.createDataFrame([(label,) for label in sorted(use_labels)], "label string")
+    used = local_table(lexicon.sparkSession, {"label": sorted(use_labels)})
     moves = rollup_map(hierarchy, used).withColumn("_known", F.lit(True))
-    joined = lexicon.select("word", "label", "ord").join(moves, "label", "left")
+    # one row per label of the tree, while a single label may hold most words
+    joined = lexicon.select("word", "label", "ord").join(F.broadcast(moves), "label", "left")
     target = F.col("used_label")
     if hierarchy is not None:
         unknown = F.col("_known").isNull() | F.col("dangling")

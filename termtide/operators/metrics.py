@@ -23,24 +23,33 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def label_counts(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return labelled.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+def _size(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
 
 
-def label_distribution(labelled: DataFrame) -> DataFrame:
+def label_counts(
+    labelled: DataFrame, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """``label, n``; ``weight`` names a column that says how many entries a row stands for."""
+    return labelled.groupBy(*by, "label").agg(_size(weight).alias("n"))
+
+
+def label_distribution(labelled: DataFrame, weight: str | None = None) -> DataFrame:
     """``label, n, share``: entries per label over all dictionaries, and their share."""
-    counts = label_counts(labelled)
+    counts = label_counts(labelled, weight=weight)
     return counts.withColumn(
         "share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
     )
 
 
-def average_size(labelled: DataFrame, n_dictionaries: int | None = None) -> DataFrame:
+def average_size(
+    labelled: DataFrame, n_dictionaries: int | None = None, weight: str | None = None
+) -> DataFrame:
     """``average_size``: labelled entries per dictionary.
 
     Without the number of dictionaries those that have entries are counted.
     """
-    per_dictionary = labelled.groupBy("dictionary").agg(F.count(F.lit(1)).alias("n"))
+    per_dictionary = labelled.groupBy("dictionary").agg(_size(weight).alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0)).cast("double")
     number = F.lit(n_dictionaries) if n_dictionaries else F.count(F.lit(1))
     return per_dictionary.agg(_ratio(total, number).alias("average_size"))
@@ -67,19 +76,20 @@ def accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _per_label(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """``label, right, support, guessed`` of every label seen in truth or prediction."""
-    cells = confusion(scored, by)
-    right = F.when(F.col("label") == F.col("label_out"), F.col("n")).otherwise(0)
-    truth = cells.select(
-        *by, "label", right.alias("right"), F.col("n").alias("support"), F.lit(0).alias("guessed")
-    )
-    guess = cells.select(
-        *by,
-        F.col("label_out").alias("label"),
-        F.lit(0).alias("right"),
-        F.lit(0).alias("support"),
-        F.col("n").alias("guessed"),
-    )
-    return _sum_counts(truth.unionByName(guess), by)
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    right = F.when(F.col("label") == F.col("label_out"), n).otherwise(zero)
+
+    def role(label: str, right: Column, support: Column, guessed: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("label"),
+            right.alias("right"),
+            support.alias("support"),
+            guessed.alias("guessed"),
+        )
+
+    # each cell counts for its true and for its predicted label
+    roles = F.array(role("label", right, n, zero), role("label_out", zero, zero, n))
+    return _sum_counts(confusion(scored, by).select(*by, F.inline(roles)), by)
 
 
 def _sum_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -109,26 +119,27 @@ def class_report(
         zeros = [F.lit(0).cast("bigint").alias(c) for c in ("right", "support", "guessed")]
         listed = labels.select(*by, "label", *zeros)
         counts = _sum_counts(counts.unionByName(listed), by)
-    scores = _with_scores(counts).select(*by, "label", "precision", "recall", "f1", "support")
-    weight = F.col("support")
-    means = scores.groupBy(*by).agg(
-        F.sum(weight).alias("support"),
-        *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
-        *[
-            _ratio(F.sum(F.col(c) * weight), F.sum(weight)).alias(f"weighted_{c}")
-            for c in ("precision", "recall", "f1")
-        ],
-    )
-    parts = [
-        means.select(
-            *by,
-            F.lit(f"{kind} avg").alias("label"),
-            *[F.col(f"{kind}_{c}").alias(c) for c in ("precision", "recall", "f1")],
-            "support",
+    fields = ["precision", "recall", "f1"]
+    weight = F.sum("support")
+    # one row per group: its label rows, bounded by the label set, and both means
+    groups = (
+        _with_scores(counts)
+        .groupBy(*by)
+        .agg(
+            F.collect_list(F.struct("label", *fields, "support")).alias("rows"),
+            F.struct(
+                F.lit("macro avg").alias("label"),
+                *[F.avg(c).alias(c) for c in fields],
+                weight.alias("support"),
+            ).alias("macro"),
+            F.struct(
+                F.lit("weighted avg").alias("label"),
+                *[_ratio(F.sum(F.col(c) * F.col("support")), weight).alias(c) for c in fields],
+                weight.alias("support"),
+            ).alias("weighted"),
         )
-        for kind in ("macro", "weighted")
-    ]
-    return scores.unionByName(parts[0]).unionByName(parts[1])
+    )
+    return groups.select(*by, F.inline(F.concat("rows", F.array("macro", "weighted"))))
 
 
 def macro_f1(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -162,32 +173,25 @@ def _bucket(prob: Column) -> Column:
 
 def _curve(scored: DataFrame, right: Column, by: Sequence[str]) -> DataFrame:
     """Per point: ``kept, right`` at or above it, and ``total``; one pass over the rows."""
-    by = list(by)
-    spark = scored.sparkSession
     buckets = scored.groupBy(*by, _bucket(F.col("prob_out")).alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right")
     )
-    zero = F.lit(0).cast("bigint")
-    points = F.explode(F.sequence(F.lit(0), F.lit(CURVE_LAST))).alias("t")
-    if by:
-        grid = buckets.select(*by).distinct().select(*by, points)
-    else:
-        grid = spark.range(CURVE_LAST + 1).select(F.col("id").cast("int").alias("t"))
-    grid = grid.select(*by, "t", zero.alias("n"), zero.alias("right"))
-    merged = (
-        buckets.unionByName(grid)
-        .groupBy(*by, "t")
-        .agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    # one row per group: at most 101 buckets, and the rows below all of them
+    groups = buckets.groupBy(*by).agg(
+        F.collect_list(F.struct("t", "n", "right")).alias("cells"), F.sum("n").alias("total")
     )
-    # at most 102 rows per group: the points, and the rows below all of them
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    above = group.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        merged.withColumn("kept", F.when(F.col("t").isNotNull(), F.sum("n").over(above)))
-        .withColumn("right", F.sum("right").over(above))
-        .withColumn("total", F.sum("n").over(group))
-        .filter(F.col("t").isNotNull())
-        .withColumn("threshold", F.round(F.col("t") * F.lit(CURVE_STEP), 2))
+    points = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(CURVE_LAST))).alias("point"))
+
+    def above(field: str) -> Column:
+        reached = F.filter("cells", lambda cell: cell["t"] >= F.col("point"))
+        return F.aggregate(reached, F.lit(0).cast("bigint"), lambda acc, cell: acc + cell[field])
+
+    return points.select(
+        *by,
+        F.round(F.col("point") * F.lit(CURVE_STEP), 2).alias("threshold"),
+        above("n").alias("kept"),
+        above("right").alias("right"),
+        "total",
     )
 
 

@@ -50,9 +50,10 @@ def first_in_group(
     """The first ``limit`` rows (a column, equal within a group) of each group.
 
     ``ranges`` cuts the order of a group into ranges of ascending number. Rows
-    are counted per range, which combines before the shuffle; ranges that fit
-    below the limit are taken whole and only the one range that crosses it is
-    sorted. No task ever holds a whole group.
+    are counted per range, which combines before the shuffle, and the running
+    total tells how many rows each range may still give. Ranges past the limit
+    are dropped before anything is sorted; the others are ranked range by range,
+    so no task ever holds a whole group.
     """
     group = list(group)
     numbered = df.withColumn("_range", ranges)
@@ -62,18 +63,14 @@ def first_in_group(
     cut = (
         counted.withColumn("_left", left)
         .filter(F.col("_left") > 0)
-        .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_g_range"), "_n", "_left")
+        .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_g_range"), "_left")
     )
     match = F.col("_range").eqNullSafe(F.col("_g_range"))
     for g in group:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     reached = numbered.join(cut, match).drop(*[f"_g_{g}" for g in group], "_g_range")
-    whole = reached.filter(F.col("_n") <= F.col("_left"))
-    crossing = _ranked(
-        reached.filter(F.col("_n") > F.col("_left")), [*group, "_range"], order, F.col("_left")
-    )
-    extra = ("_range", "_n", "_left")
-    return whole.drop(*extra).unionByName(crossing.drop(*extra))
+    ranked = _ranked(reached, [*group, "_range"], order, F.col("_left"))
+    return ranked.drop("_range", "_left")
 
 
 def _word_keys(entries: DataFrame) -> list[str]:

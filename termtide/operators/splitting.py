@@ -32,33 +32,44 @@ class SplitSize:
             raise ValueError("give either a test count or a test share")
 
 
-def common_terms(labelled: DataFrame, n_dictionaries: int | None = None) -> DataFrame:
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """``dictionary, word, label, n``: how many entries each word has, with its label.
+
+    Everything about the test vocabulary follows from this table, which is far
+    smaller than the entries: write it once where it is used more than once.
+    """
+    return labelled.groupBy("dictionary", "word", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dictionaries(words: DataFrame, n_dictionaries: int | None) -> Column:
+    if n_dictionaries:
+        return F.lit(n_dictionaries)
+    return words.agg(F.count_distinct("dictionary")).scalar()
+
+
+def common_terms(words: DataFrame, n_dictionaries: int | None = None) -> DataFrame:
     """``word, label`` of the words every dictionary has.
 
     Without the number of dictionaries those with entries are counted.
     """
-    seen = labelled.groupBy("word", "dictionary").agg(F.min("label").alias("label"))
-    if n_dictionaries:
-        number = F.lit(n_dictionaries)
-    else:
-        number = labelled.agg(F.count_distinct("dictionary")).scalar()
     return (
-        seen.groupBy("word")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("label"))
-        .filter(F.col("_n") == number)
+        words.groupBy("word", "label")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") == _dictionaries(words, n_dictionaries))
         .select("word", "label")
     )
 
 
-def test_target(labelled: DataFrame, size: SplitSize, n_dictionaries: int | None = None) -> Column:
+def test_target(words: DataFrame, size: SplitSize, n_dictionaries: int | None = None) -> Column:
     """The wished number of test terms, rounded half to even."""
     if size.count is not None:
         return F.lit(size.count).cast("double")
-    return F.bround(F.lit(size.share) * average_size(labelled, n_dictionaries).scalar(), 0)
+    average = average_size(words, n_dictionaries, weight="n").scalar()
+    return F.bround(F.lit(size.share) * average, 0)
 
 
 def test_quotas(
-    labelled: DataFrame, size: SplitSize, n_dictionaries: int | None = None, seed: int = 0
+    words: DataFrame, size: SplitSize, n_dictionaries: int | None = None, seed: int = 0
 ) -> DataFrame:
     """``label, n, share, quota``: test terms per label, rounded half to even.
 
@@ -66,8 +77,8 @@ def test_quotas(
     label in seeded label order, going round again if labels are few. Quotas
     that round above the target stay.
     """
-    target = test_target(labelled, size, n_dictionaries)
-    quotas = label_distribution(labelled).withColumn(
+    target = test_target(words, size, n_dictionaries)
+    quotas = label_distribution(words, weight="n").withColumn(
         "quota", F.bround(target * F.col("share"), 0).cast("bigint")
     )
     if not size.force:
@@ -93,11 +104,11 @@ def quota_shortfall(quotas: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def test_terms(
-    labelled: DataFrame, size: SplitSize, n_dictionaries: int | None = None, seed: int = 0
+    words: DataFrame, size: SplitSize, n_dictionaries: int | None = None, seed: int = 0
 ) -> DataFrame:
     """``word, label`` of the test vocabulary."""
-    quotas = test_quotas(labelled, size, n_dictionaries, seed)
-    return pick_by_quota(common_terms(labelled, n_dictionaries), quotas, seed)
+    quotas = test_quotas(words, size, n_dictionaries, seed)
+    return pick_by_quota(common_terms(words, n_dictionaries), quotas, seed)
 
 
 def test_entries(labelled: DataFrame, terms: DataFrame) -> DataFrame:
@@ -108,9 +119,7 @@ def train_entries(labelled: DataFrame, terms: DataFrame) -> DataFrame:
     return labelled.join(terms.select("word"), "word", "left_anti")
 
 
-def split_dataset(
-    labelled: DataFrame, terms: DataFrame, seed: int = 0
-) -> DataFrame:
+def split_dataset(labelled: DataFrame, terms: DataFrame, seed: int = 0) -> DataFrame:
     """Labelled entries with ``split``: the best entry of each test term, all entries of other words."""
     test = best_quality(test_entries(labelled, terms), seed)
     train = train_entries(labelled, terms)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from termtide.operators.labelling import drop_exclusions, label_first
 from termtide.operators.selection import top_n_per_word, with_quality_at_least
@@ -16,6 +15,7 @@ from termtide.operators.splitting import (
     split_dataset,
     test_quotas,
     test_terms,
+    word_counts,
 )
 from termtide.session import stage
 
@@ -43,8 +43,12 @@ def valid_entries(
     exclusions: Sequence[DataFrame] = (),
     rules: EntryRules = EntryRules(),
 ) -> DataFrame:
-    """Labelled entries of words not excluded, then top-n per word, then the threshold."""
-    kept = drop_exclusions(label_first(entries, lexicon), *exclusions)
+    """Labelled entries of words not excluded, then top-n per word, then the threshold.
+
+    Exclusions go by word, so they are taken off the lexicon, and the entries
+    are joined once.
+    """
+    kept = label_first(entries, drop_exclusions(lexicon, *exclusions))
     if rules.top_n is not None:
         kept = top_n_per_word(kept, rules.top_n, rules.top_by)
     if rules.quality_threshold is not None:
@@ -61,14 +65,15 @@ def make_dataset(
 ) -> DataFrame:
     """Valid entries with their ``split``; the test words are the same in every dictionary.
 
-    The entries feed the quotas and both sets, so they are written once first,
-    and the test vocabulary after them. ``strict`` fails when a label has fewer
-    common terms than wanted; otherwise the test set is smaller.
+    The entries feed the test vocabulary and both sets, so they are written
+    once first, then their words, then the vocabulary. ``strict`` fails when a
+    label has fewer common terms than wanted; otherwise the test set is smaller.
     """
     valid = stage(valid, "valid-entries")
-    terms = stage(test_terms(valid, size, n_dictionaries, seed), "test-terms")
+    words = stage(word_counts(valid), "word-counts")
+    terms = stage(test_terms(words, size, n_dictionaries, seed), "test-terms")
     if strict:
-        short = quota_shortfall(test_quotas(valid, size, n_dictionaries, seed), terms)
+        short = quota_shortfall(test_quotas(words, size, n_dictionaries, seed), terms)
         first = short.first()
         if first:
             raise TooFewTermsError(

@@ -1,6 +1,6 @@
 """The whole chain for one lexicon and its dictionaries, stage by stage on disk.
 
-Stages of a run: ``valid``, ``terms``, ``dataset``, ``model``, ``test_scored``,
+Stages of a run: ``valid``, ``words``, ``terms``, ``dataset``, ``model``, ``test_scored``,
 ``scored``, ``expanded``, ``summary`` and, last, ``manifest``. A stage the run has
 finished is read, not made again, when the run is taken up after a failure.
 """
@@ -20,7 +20,7 @@ from termtide.operators.classify import NaiveBayes, apply_naive_bayes, label_ind
 from termtide.operators.labelling import new_terms
 from termtide.operators.metrics import run_summary
 from termtide.operators.selection import best_confidence, unlabelled_positive
-from termtide.operators.splitting import SplitSize, split_dataset, test_terms
+from termtide.operators.splitting import SplitSize, split_dataset, test_terms, word_counts
 from termtide.plans.dataset import EntryRules, valid_entries
 from termtide.plans.expansion import expand_lexicon
 from termtide.session import path_exists
@@ -125,7 +125,8 @@ class Experiment:
         valid = self._stage(
             "valid", lambda: valid_entries(self.entries, self.lexicon, self.exclusions, conf.rules)
         )
-        terms = self._stage("terms", lambda: test_terms(valid, conf.size, seed=conf.seed))
+        words = self._stage("words", lambda: word_counts(valid))
+        terms = self._stage("terms", lambda: test_terms(words, conf.size, seed=conf.seed))
         self._stage("dataset", lambda: split_dataset(valid, terms, conf.seed), by="split")
         model = self._model()
         self._stage(

@@ -38,7 +38,7 @@ from termtide.plans.asking import ask_labels
 from termtide.plans.dataset import EntryRules, make_dataset, valid_entries
 from termtide.plans.expansion import expand_lexicon
 from termtide.plans.experiment import Experiment, ExperimentConf
-from termtide.session import scratch_path, stage
+from termtide.session import local_table, scratch_path, stage
 from termtide.sources import dictionaries, lexicons, lists, tables
 from termtide.sources.dictionaries import REVIEWED_QUALITY
 from termtide.sources.fixed import VOTE_COLUMNS
@@ -479,16 +479,18 @@ def anti_exclusions(spark, sf_dir):
 
 @query
 def semi_test_entries(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    return splitting.test_entries(valid, splitting.test_terms(valid, SPLIT)).select(
+    valid = stage(_valid(spark, sf_dir), "valid")
+    terms = splitting.test_terms(_words(valid), SPLIT)
+    return splitting.test_entries(valid, terms).select(
         "dictionary", "id", "word", "label"
     )
 
 
 @query
 def anti_train_entries(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    return splitting.train_entries(valid, splitting.test_terms(valid, SPLIT)).select(
+    valid = stage(_valid(spark, sf_dir), "valid")
+    terms = splitting.test_terms(_words(valid), SPLIT)
+    return splitting.train_entries(valid, terms).select(
         "dictionary", "id", "word", "label"
     )
 
@@ -549,6 +551,10 @@ def _labelled(spark, sf_dir):
     )
 
 
+def _words(labelled):
+    return stage(splitting.word_counts(labelled), "words")
+
+
 def _dataset(spark, sf_dir):
     return make_dataset(_valid(spark, sf_dir), SPLIT)
 
@@ -576,7 +582,8 @@ def agg_label_set(spark, sf_dir):
 
 @query
 def agg_test_quota(spark, sf_dir):
-    quotas = splitting.test_quotas(_labelled(spark, sf_dir), SplitSize(count=TEST_COUNT))
+    words = splitting.word_counts(_labelled(spark, sf_dir))
+    quotas = splitting.test_quotas(words, SplitSize(count=TEST_COUNT))
     return quotas.select("label", "n", F.round("share", 6).alias("share"), "quota")
 
 
@@ -597,7 +604,7 @@ _SCORES = ["precision", "recall", "f1"]
 
 @query
 def agg_class_report(spark, sf_dir):
-    extra = spark.createDataFrame([("it",), ("en",)], "label string")
+    extra = local_table(spark, {"label": ["it", "en"]})
     report = metrics.class_report(standins.scored(spark, sf_dir), extra)
     return report.select("label", *[F.round(c, 6).alias(c) for c in _SCORES], "support")
 
@@ -669,9 +676,9 @@ def win_last_wins(spark, sf_dir):
 
 @query
 def win_pick_terms(spark, sf_dir):
-    labelled = _labelled(spark, sf_dir)
-    quotas = splitting.test_quotas(labelled, SPLIT)
-    return selection.pick_by_quota(splitting.common_terms(labelled), quotas)
+    words = _words(_labelled(spark, sf_dir))
+    quotas = splitting.test_quotas(words, SPLIT)
+    return selection.pick_by_quota(splitting.common_terms(words), quotas)
 
 
 @query
@@ -692,7 +699,7 @@ def sort_by_confidence(spark, sf_dir):
 
 @query
 def set_common_terms(spark, sf_dir):
-    return splitting.common_terms(_labelled(spark, sf_dir))
+    return splitting.common_terms(_words(_labelled(spark, sf_dir)))
 
 
 @query

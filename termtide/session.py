@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -69,6 +71,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, columns: dict[str, Iterable[str | None]]) -> DataFrame:
+    """A small table of strings given in the program; its size is known to the optimizer."""
+    arrays = {name: pa.array(list(values), pa.string()) for name, values in columns.items()}
+    return spark.createDataFrame(pa.table(arrays))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

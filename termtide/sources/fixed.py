@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termtide.session import local_table
+
 # Label tree of the 2015 psychological category lexicon, child -> parent.
 PSYCH_2015_TREE: dict[str, str | None] = {
     "function": None,
@@ -214,4 +216,4 @@ VOTE_COLUMNS = [
 
 def hierarchy_table(spark: SparkSession, tree: dict[str, str | None]) -> DataFrame:
     """A label tree as the ``child, parent`` table."""
-    return spark.createDataFrame(list(tree.items()), "child string, parent string")
+    return local_table(spark, {"child": tree.keys(), "parent": tree.values()})

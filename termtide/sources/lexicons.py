@@ -51,7 +51,8 @@ def read_lexicon_dic(spark: SparkSession, path: str) -> DataFrame:
         "line",
         F.posexplode(F.slice("f", 2, F.size("f"))).alias("_pos", "_id"),
     )
-    named = body.join(header, "_id", "left")
+    # one row per category, while a single category may be on most lines
+    named = body.join(F.broadcast(header), "_id", "left")
     missing = F.raise_error(F.format_string("no category with id %s", F.col("_id")))
     return named.select(
         strip_wildcard(F.col("pattern")).alias("word"),

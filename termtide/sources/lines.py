@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termtide.session import stage
+
 _BLOCK = ["_file", "_block"]
 
 
@@ -30,10 +32,11 @@ def place() -> Column:
 
 
 def numbered(df: DataFrame, name: str = "line") -> DataFrame:
-    """Rows with their number in file order, from 0, instead of their place.
+    """Rows with their number in file order, from 0, as column ``name``.
 
-    The rows of each block are counted first; the running total over the blocks
-    (one small row each) gives every block its first number.
+    A first pass counts the rows of each block; the running total over the
+    blocks (one small row each) gives every block its first number. The table of
+    blocks is written, so its true size decides how it is joined.
     """
     placed = with_place(df)
     sizes = placed.groupBy(*_BLOCK).agg(
@@ -43,8 +46,11 @@ def numbered(df: DataFrame, name: str = "line") -> DataFrame:
     starts = sizes.select(
         *_BLOCK, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    return placed.join(starts, _BLOCK).select(
-        *df.columns, (F.col("_row") + F.col("_shift")).alias(name)
+    # a block the first pass did not see means the files are now split otherwise
+    changed = F.raise_error(F.lit("files or split size changed since they were opened"))
+    shift = F.coalesce("_shift", changed.cast("bigint"))
+    return placed.join(stage(starts, "file-blocks"), _BLOCK, "left").select(
+        *df.columns, (F.col("_row") + shift).alias(name)
     )
 
 

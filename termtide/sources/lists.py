@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtide.functions.text import strip
+from termtide.session import local_table
 from termtide.sources.lines import text_lines
 
 
@@ -19,4 +20,4 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
 def stop_words(spark: SparkSession, language: str = "english") -> DataFrame:
     """The stop words Spark ML holds for a language, as ``term``."""
     words = sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)})
-    return spark.createDataFrame([(w,) for w in words], "term string")
+    return local_table(spark, {"term": words})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtide.operators.splitting import dataset_all
-from termtide.session import path_exists
+from termtide.session import local_table, path_exists
 from termtide.sources.lines import with_place
 
 
@@ -110,7 +110,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def known_answers(spark: SparkSession, path: str) -> DataFrame:
     """``model, prompt_hash, answer`` on record; nothing when no answer was ever written."""
     if not path_exists(spark, path):
-        return spark.createDataFrame([], "model string, prompt_hash string, answer string")
+        return local_table(spark, {"model": [], "prompt_hash": [], "answer": []})
     parts = F.regexp_extract("key", "^(.*):([^:]*)$", 1), F.regexp_extract("key", "^(.*):([^:]*)$", 2)
     return read_answers(spark, path).select(
         parts[0].alias("model"), parts[1].alias("prompt_hash"), F.col("value").alias("answer")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termtide.sources.fixed import hierarchy_table
+
 # Lines per document an id has room for.
 LINE_SPAN = 100_000
 EXCLUDED_WORDS = 50
@@ -66,7 +68,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LABEL_TREE.items()), "child string, parent string")
+    return hierarchy_table(spark, LABEL_TREE)
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
