@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termtide.operators.joins import lookup_join
+
 AnswerBatch = Callable[[list[str]], list[str]]
 
 _ANSWERS = "model string, prompt_hash string, prompt string, answer string"
@@ -24,14 +26,15 @@ def with_prompt_key(prompts: DataFrame, model: str) -> DataFrame:
 def with_known_answers(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     """Prompts with the ``answer`` on record, null where there is none."""
     known = answers.groupBy("model", "prompt_hash").agg(F.max("answer").alias("answer"))
-    return prompts.join(known, ["model", "prompt_hash"], "left")
+    return lookup_join(prompts, known, ["model", "prompt_hash"], "left")
 
 
 def unanswered(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     """``model, prompt_hash, prompt``: each prompt without an answer, once."""
     # repeats go first: one prompt may be asked by most rows
     once = prompts.groupBy("model", "prompt_hash").agg(F.any_value("prompt").alias("prompt"))
-    return once.join(answers, ["model", "prompt_hash"], "left_anti")
+    known = answers.select("model", "prompt_hash")
+    return lookup_join(once, known, ["model", "prompt_hash"], "left_anti")
 
 
 def ask(

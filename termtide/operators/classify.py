@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from termtide.functions.labels import best_label, best_probability, label_array
 from termtide.functions.text import words_of
+from termtide.operators.joins import lookup_join
 
 # The pseudo word every text has once; its weights are the class priors.
 _PRIOR = ""
@@ -138,7 +139,7 @@ def naive_bayes_scores(
     near = tokens.join(F.broadcast(frequent), keys)
     far = tokens.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
     rest = model.weights.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
-    far = far.join(rest.select(*keys, "w"), keys)
+    far = lookup_join(far, rest.select(*keys, "w"), keys, "inner")
     return (
         near.unionByName(far)
         .groupBy(*keep)

@@ -1,10 +1,8 @@
 """Joins of dictionary words with a lexicon, its label tree and term lists.
 
 Lexicons and term lists are not broadcast by hint, as they may grow with the
-data: the choice is left to the optimizer, which goes by the measured size. Where the
-join is shuffled, a word that holds a large share of the entries makes one long
-partition on the entries' side only (the other side has one row per word), and
-adaptive execution splits it.
+data: ``lookup_join`` leaves the choice to the optimizer. Tables with one row
+per label are, as a single label may hold most rows of the other side.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termtide.functions.labels import first_label, label_array, strip_wildcard
+from termtide.operators.joins import lookup_join
 from termtide.session import local_table
 
 _KEY = "_key"
@@ -62,7 +61,7 @@ def _attach(entries: DataFrame, lists: DataFrame) -> DataFrame:
     keyed = entries.withColumn(_KEY, F.lower("word"))
     known = lists.select(F.col("word").alias(_KEY), "labels")
     return (
-        keyed.join(known, _KEY, "left")
+        lookup_join(keyed, known, [_KEY], "left")
         .withColumn("labels", F.coalesce("labels", label_array([])))
         .drop(_KEY)
     )
@@ -86,7 +85,8 @@ def label_first(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
     else:
         firsts = first_labels(lexicon)
     firsts = firsts.withColumnRenamed("word", _KEY)
-    return entries.withColumn(_KEY, F.lower("word")).join(firsts, _KEY, "inner").drop(_KEY)
+    keyed = entries.withColumn(_KEY, F.lower("word"))
+    return lookup_join(keyed, firsts, [_KEY], "inner").drop(_KEY)
 
 
 def strict_lists(patterns: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def match_patterns(words: DataFrame, stems: DataFrame) -> DataFrame:
     )
     whole = ~F.col("is_prefix")
     return (
-        spelled.join(stems, "stem")
+        lookup_join(spelled, stems, ["stem"], "inner")
         .filter(F.col("is_prefix") | (F.col("_n") == size))
         .groupBy(_KEY)
         .agg(F.max_by("labels", F.struct(whole, F.col("_n"))).alias("labels"))
@@ -259,7 +259,7 @@ def drop_exclusions(entries: DataFrame, *term_lists: DataFrame) -> DataFrame:
         return entries
     terms = reduce(DataFrame.union, [t.select(F.lower("term").alias(_KEY)) for t in term_lists])
     keyed = entries.withColumn(_KEY, F.lower("word"))
-    return keyed.join(terms.distinct(), _KEY, "left_anti").drop(_KEY)
+    return lookup_join(keyed, terms.distinct(), [_KEY], "left_anti").drop(_KEY)
 
 
 def new_terms(predicted: DataFrame, lexicon: DataFrame, term: str = "word") -> DataFrame:
@@ -267,7 +267,8 @@ def new_terms(predicted: DataFrame, lexicon: DataFrame, term: str = "word") -> D
     if "labels" in lexicon.columns:
         lexicon = lexicon.filter(F.size("labels") > 0)
     known = lexicon.select(F.lower("word").alias(_KEY)).distinct()
-    return predicted.withColumn(_KEY, F.lower(term)).join(known, _KEY, "left_anti").drop(_KEY)
+    keyed = predicted.withColumn(_KEY, F.lower(term))
+    return lookup_join(keyed, known, [_KEY], "left_anti").drop(_KEY)
 
 
 def expanded_lists(expanded: DataFrame, lexicon: DataFrame) -> DataFrame:

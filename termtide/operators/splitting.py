@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termtide.functions.ordering import seeded_key
+from termtide.operators.joins import lookup_join
 from termtide.operators.metrics import average_size, label_distribution
 from termtide.operators.selection import best_quality, pick_by_quota
 
@@ -112,11 +113,11 @@ def test_terms(
 
 
 def test_entries(labelled: DataFrame, terms: DataFrame) -> DataFrame:
-    return labelled.join(terms.select("word"), "word", "left_semi")
+    return lookup_join(labelled, terms.select("word"), ["word"], "left_semi")
 
 
 def train_entries(labelled: DataFrame, terms: DataFrame) -> DataFrame:
-    return labelled.join(terms.select("word"), "word", "left_anti")
+    return lookup_join(labelled, terms.select("word"), ["word"], "left_anti")
 
 
 def split_dataset(labelled: DataFrame, terms: DataFrame, seed: int = 0) -> DataFrame:

@@ -33,6 +33,7 @@ from termtide.functions.text import (
     with_net_quality,
 )
 from termtide.operators import asking, classify, labelling, metrics, selection, splitting
+from termtide.operators.joins import lookup_join
 from termtide.operators.splitting import SplitSize
 from termtide.plans.asking import ask_labels
 from termtide.plans.dataset import EntryRules, make_dataset, valid_entries
@@ -424,7 +425,7 @@ def flt_confidence(spark, sf_dir):
 @query
 def flt_unlabelled_positive(spark, sf_dir):
     firsts = labelling.first_labels(standins.lexicon(spark, sf_dir))
-    rows = standins.scored(spark, sf_dir).drop("label").join(firsts, "word", "left")
+    rows = lookup_join(standins.scored(spark, sf_dir).drop("label"), firsts, ["word"], "left")
     return selection.unlabelled_positive(rows).select("id", "word", "quality")
 
 

@@ -28,7 +28,7 @@ def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataF
         quote='"',
         escape='"',
         multiLine=multi_line,
-        enforceSchema=True,
+        nullValue="\0",  # an empty field is null, a quoted empty one an empty text
     )
 
 

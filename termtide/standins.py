@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termtide.operators.joins import lookup_join
 from termtide.sources.fixed import hierarchy_table
 
 # Lines per document an id has room for.
@@ -107,7 +108,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.max("n") / F.sum("n")).alias("prob_out"),
     )
     known = entries(spark, sf_dir).withColumnRenamed("lang", "label").drop("pos")
-    return known.join(main, "word")
+    return lookup_join(known, main, ["word"], "inner")
 
 
 def vote_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
