@@ -28,6 +28,8 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+        # does without the Python call site of every column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **(conf or {}),
     }
     builder = SparkSession.builder.appName(app)

@@ -32,9 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table read in fewer pieces than there are cores is dealt out to all of them.
+
+    Only a small table is; one of many files stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, dictionary, word, text, quality, lang, pos``: one per line that has a word."""
-    lines = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    lines = spread(documents, "doc_id").select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
     )
     return lines.select(
