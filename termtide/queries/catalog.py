@@ -57,6 +57,7 @@ SPLIT = SplitSize(share=0.1)
 THRESHOLD = 0.8
 ANSWER_LABELS = ["the", "der", "que", "les", "ando", "de"]
 TERM = "THE"
+STOP_WORDS = ["and", "OF", "Der", "les", "con", "was"]
 TURN_LABELS = ["statement", "question", "request"]
 LEXICON_NAME = "speech act"
 
@@ -472,9 +473,8 @@ def join_lookup_mapped(spark, sf_dir):
 @query
 def anti_exclusions(spark, sf_dir):
     names = standins.frequent_words(spark, sf_dir).select(F.upper("term").alias("term"))
-    kept = labelling.drop_exclusions(
-        standins.entries(spark, sf_dir), names, lists.stop_words(spark, "english")
-    )
+    given = local_table(spark, {"term": STOP_WORDS})
+    kept = labelling.drop_exclusions(standins.entries(spark, sf_dir), names, given)
     return kept.select("id", "word")
 
 

@@ -355,17 +355,6 @@ def _details(meaning: str, example: str) -> str:
 _ANSWER_ORDER = [("the", 0), ("der", 1), ("que", 2), ("les", 3), ("ando", 4), ("de", 5)]
 _ANSWER_VALUES = ", ".join(f"('{label}', {i})" for label, i in _ANSWER_ORDER)
 
-_STOP_WORDS_KEY = "{stop_words}"
-
-
-def stop_word_values() -> str:
-    """The stop words the query uses, as SQL strings."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    words = sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords("english")})
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
 ORACLE: dict[str, str] = {
     # --- sources
     "src_lexicon_csv": f"{_B} SELECT word, labels FROM lists",
@@ -493,7 +482,8 @@ ORACLE: dict[str, str] = {
     + " SELECT id, word, coalesce(labels, '') AS labels FROM entries LEFT JOIN rolled_lists USING (word)",
     "anti_exclusions": f"""{_B}
         SELECT id, word FROM entries
-        WHERE word NOT IN (SELECT term FROM frequent) AND word NOT IN ({_STOP_WORDS_KEY})""",
+        WHERE word NOT IN (SELECT term FROM frequent) 
+          AND word NOT IN ('and', 'of', 'der', 'les', 'con', 'was')""",
     "semi_test_entries": f"""{_D}
         SELECT dictionary, id, word, label FROM valid WHERE word IN (SELECT word FROM picked)""",
     "anti_train_entries": f"{_D} SELECT dictionary, id, word, label FROM train",
@@ -624,10 +614,3 @@ ORACLE: dict[str, str] = {
     )
     + " SELECT dictionary, term, label FROM grown",
 }
-
-
-def oracle() -> dict[str, str]:
-    out = dict(ORACLE)
-    key = "anti_exclusions"
-    out[key] = out[key].replace(_STOP_WORDS_KEY, stop_word_values())
-    return out
