@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -49,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
     root = tempfile.mkdtemp(prefix="termtide-")
     spark.sparkContext.setCheckpointDir(root)
