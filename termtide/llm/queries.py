@@ -172,3 +172,23 @@ def op5_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termtide.llm.ann import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+FOLDS = 5
+
+
+def fold_of(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.toxicity import learn, score
+
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold_of() != 0)
+    return score(docs, learn(docs, labels), "score").select(
+        "doc_id",
+        (fold_of() == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
