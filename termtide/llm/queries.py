@@ -192,3 +192,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.token_files import read_token_files, token_path, write_token_files
+
+    docs = documents(spark, sf_dir)
+    files = write_token_files(docs, token_path(docs), "byte_bpe_50k.json")
+    read = read_token_files(files)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
