@@ -202,3 +202,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(docs, token_path(docs), "byte_bpe_50k.json")
     read = read_token_files(files)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir), "word_bpe_49k.json")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
