@@ -210,3 +210,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack_documents(documents(spark, sf_dir), "word_bpe_49k.json")
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.unigram import encode_documents
+
+    docs = documents(spark, sf_dir)
+    coded = encode_documents(docs, "piece_bpe_32k.model")
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.crc32("ids").alias("ids_crc32"),
+        F.round("score", 3).alias("score"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
