@@ -225,3 +225,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("score", 3).alias("score"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.minhash import near_groups
+
+    return near_groups(documents(spark, sf_dir), size=2, percent=80)
