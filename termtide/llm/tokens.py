@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
 
 # Pieces remembered; each takes some 150 bytes. Beyond it the memory starts anew.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 600_000
 _END = np.zeros(1, "<u4").tobytes()  # id 0 ends a document
 
 # Before the last blank of a run of white space, if a word follows: byte-level patterns let
@@ -186,4 +186,4 @@ def crc(data: bytes) -> int:
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     from termtide.llm.common import by_size
 
-    return by_size(batches, text, 16 << 20)
+    return by_size(batches, text, 4 << 20)
