@@ -39,12 +39,12 @@ def cells_for(rows: int) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
-def cell_numbers(hashes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+def cell_numbers(hashes: np.ndarray, cells: int, probes: int = PROBES) -> Iterator[np.ndarray]:
     """The cells of each hash, one array for each probe; every probe has its own part of the filter."""
-    part = cells // PROBES
+    part = cells // probes
     h = hashes.astype(np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
+    for i in range(probes):
         x = h + step * np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -63,12 +63,12 @@ def _get(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 _BLOCKS = "block bigint, once binary, twice binary"
 
 
-def _fill(cells: int):
+def _fill(cells: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
         for batch in batches:
             hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            for numbers in cell_numbers(hashes, cells):
+            for numbers in cell_numbers(hashes, cells, probes):
                 own, n = np.unique(numbers, return_counts=True)
                 _set(twice, own[(n > 1) | _get(once, own)])
                 _set(once, own)
@@ -105,10 +105,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def repeat_filter(hashes: DataFrame, cells: int) -> np.ndarray:
+def repeat_filter(hashes: DataFrame, cells: int, probes: int = PROBES) -> np.ndarray:
     """The bits of the cells set more than once by the one column of ``hashes``."""
     merged = (
-        hashes.mapInArrow(_fill(cells), _BLOCKS)
+        hashes.mapInArrow(_fill(cells, probes), _BLOCKS)
         .repartition("block")
         .sortWithinPartitions("block")
         .mapInArrow(_merge, "block bigint, twice binary")

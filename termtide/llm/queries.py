@@ -232,3 +232,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termtide.llm.minhash import near_groups
 
     return near_groups(documents(spark, sf_dir), size=2, percent=80)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.suffix_dedup import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir)).drop("kept")
