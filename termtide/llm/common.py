@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -63,3 +67,25 @@ def by_size(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20)
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless they find it by their own path.
+
+    Functions that run in tasks are imported there. A session started beside the
+    package, or with it on ``PYTHONPATH``, has it; any other gets it as a zip file.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    roots = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if package.parent in roots or Path.cwd().resolve() == package.parent or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = Path(tempfile.mkdtemp(prefix="termtide-package-"))
+    with zipfile.ZipFile(folder / "termtide_package.zip", "w") as bundle:
+        for file in package.rglob("*.py"):
+            bundle.write(file, Path(package.name) / file.relative_to(package))
+    context.addPyFile(str(folder / "termtide_package.zip"))
+
+
+_SHIPPED: set[str] = set()

@@ -7,11 +7,12 @@ derives the columns of its contract from what the operator returns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.llm.common import table
+from termtide.llm.common import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,4 +244,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termtide.llm.suffix_dedup import drop_repeats
 
-    return drop_repeats(documents(spark, sf_dir)).drop("kept")
+    return drop_repeats(documents(spark, sf_dir)).drop("kept", "kept_text")

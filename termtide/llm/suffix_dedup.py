@@ -318,7 +318,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_size(batches, "text", _SLICE):
         data, offsets = byte_pieces(batch.column("text"))
         lists = batch.column("spans")
-        kept, removed, runs, digests = [], [], [], []
+        kept, texts, removed, runs, digests = [], [], [], [], []
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
             n = k = 0
@@ -331,18 +331,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text[~gone]
             raw = text.tobytes()
             kept.append(raw)
+            texts.append(raw.decode("utf8", "ignore") if n else None)
             removed.append(n)
             runs.append(k)
             digests.append(hashlib.sha256(raw).hexdigest())
         sizes = np.diff(offsets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)],
-            ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)],
+            ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_chunks: int = GROUP_CHUNKS) -> DataFrame:
-    """``doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256``: the bytes of each text that stay.
+    """``doc_id, kept, kept_text, n_bytes, n_removed, n_spans, kept_sha256``: the bytes of each text that stay.
+
+    ``kept_text`` is null if all stay, and else leaves out characters of which a part went.
 
     A null text counts as empty; texts shorter than ``LENGTH`` bytes have nothing
     removed. Overlapping strings count, and all are judged on the input. A row without
@@ -354,6 +357,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gr
     )
     spans = repeated_spans(own, group_chunks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     joined = own.join(spans, "doc_id", "left")
-    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = "doc_id bigint, kept binary, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     cut = joined.mapInArrow(_cut, schema)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
