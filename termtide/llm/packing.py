@@ -6,8 +6,9 @@ not smaller than it that no larger piece has taken. Every range is swept by one
 task; what a range cannot match itself is settled between ranges by rank: the
 r-th piece left over takes the r-th smallest gap left in the ranges before. The
 gaps are updated and the round repeats. Pieces are taken in classes of falling
-size, as best-fit decreasing does; those of a class that fit nowhere open new
-sequences, the largest first and only as many as their tokens need.
+size, as best-fit decreasing does; those that fit nowhere open new sequences, the
+largest first and only as many as their tokens need, and what is left after a second
+round joins the next class.
 
 A round moves rows of a few numbers; texts and ids never move. Very short pieces
 are first tied into bundles, so that the number of rounds depends on the length
@@ -32,8 +33,6 @@ SEQUENCE_TOKENS = 2048
 BUNDLED = 64  # pieces up to this length are tied into bundles of up to twice as much
 ROWS_PER_RANGE = 50_000
 _SHARES = 1_000_000
-# A round that places less than this share of its pieces also opens sequences for the others.
-LEAST_SHARE = 0.1
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -187,38 +186,54 @@ class _Packer:
         """``item, bin, offset`` for ``item, length`` (1 to the capacity)."""
         half = self.capacity // 2
         gaps = self._table(self.opened(items.filter(F.col("length") > half)), "gaps")
-        high = half
+        high, left = half, items.limit(0)
         while high:
             low = high // 2 if high // 2 >= 2 * BUNDLED else 0
             own = items.filter((F.col("length") > low) & (F.col("length") <= high))
-            gaps = self._pack_class(own, gaps)
+            left, gaps, _ = self._step(own.unionByName(left), gaps)
             high = low
+        rest = 1
+        while rest:
+            left, gaps, rest = self._step(left, gaps)
         return self.spark.read.schema("item bigint, bin bigint, offset bigint, length bigint, round int").parquet(
             f"{self.path}/placed"
         )
 
-    def _pack_class(self, items: DataFrame, gaps: DataFrame) -> DataFrame:
-        while True:
-            # one row for each length there is
-            counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}
-            if not counts:
-                return gaps
-            fitting = gaps.filter(F.col("gap") >= min(counts))
-            placed, n = self.matched(items, fitting, max(counts), 2 * sum(counts.values()))
-            total = sum(counts.values())
-            if n:
-                taken = placed.groupBy("bin").agg(F.sum("length").alias("_taken"))
-                rest = gaps.join(taken, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_taken", F.lit(0))).alias("gap"))
-                gaps = self._table(rest.filter("gap > 0"), "gaps")
-            if n < total * LEAST_SHARE:
-                if n:  # few fit: the rest opens sequences in the same round
-                    items = self._table(items.join(placed.select("item"), "item", "left_anti"), "items-left")
-                    counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}
-                    if not counts:
-                        return gaps
-                placed = self._seeds(items, counts)
-                gaps = self._table(gaps.unionByName(self.opened(placed).filter("gap > 0")), "gaps")
-            items = self._table(items.join(placed.select("item"), "item", "left_anti"), "items")
+    def _step(self, items: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """A round in the gaps there are, new sequences for what fits nowhere, and a round with their gaps.
+
+        Returns the pieces left, the gaps, and how many pieces are left.
+        """
+        counts = self._lengths(items)
+        items, gaps, counts = self._round(items, gaps, counts)
+        if counts:
+            seeds = self._seeds(items, counts)
+            opened = self.opened(seeds)
+            gaps = self._table(gaps.unionByName(opened.filter("gap > 0")), "gaps-opened")
+            items = self._table(items.join(seeds.select("item"), "item", "left_anti"), "items-left")
+            items, gaps, counts = self._round(items, gaps, self._lengths(items))
+        return items, gaps, sum(counts.values())
+
+    @staticmethod
+    def _lengths(items: DataFrame) -> dict[int, int]:
+        """How many pieces there are of each length: one row for each."""
+        return {r.length: r["count"] for r in items.groupBy("length").count().collect()}
+
+    def _round(self, items: DataFrame, gaps: DataFrame, counts: dict[int, int]) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+        if not counts:
+            return items, gaps, counts
+        total = sum(counts.values())
+        fitting = gaps.filter(F.col("gap") >= min(counts))
+        placed, n = self.matched(items, fitting, max(counts), 2 * total)
+        if not n:
+            return items, gaps, counts
+        taken = placed.groupBy("bin").agg(F.sum("length").alias("_taken"))
+        rest = gaps.join(taken, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_taken", F.lit(0))).alias("gap"))
+        gaps = self._table(rest.filter("gap > 0"), "gaps")
+        if n == total:
+            return items.limit(0), gaps, {}
+        items = self._table(items.join(placed.select("item"), "item", "left_anti"), "items")
+        return items, gaps, self._lengths(items)
 
     def _seeds(self, items: DataFrame, counts: dict[int, int]) -> DataFrame:
         """The largest pieces, as many as sequences their tokens fill; a share of those of the last length."""
