@@ -153,20 +153,27 @@ def apply_naive_bayes(
     """``dictionary, id, *carry, label_out, prob_out`` for every entry.
 
     ``carry`` names the entry columns wanted in the result; texts are better
-    joined back by ``id`` where they are needed.
+    joined back by ``id`` where they are needed. Entries of a dictionary that had no
+    training rows come out with a null label and probability.
     """
     scores = naive_bayes_scores(entries, model, carry)
     values = F.array(*[F.col(f"s{i}") for i in range(len(model.labels))])
-    return (
-        scores.withColumn("_s", values)
-        .select(
-            "dictionary",
-            "id",
-            *carry,
-            best_label(F.col("_s"), label_array(model.labels)).alias("label_out"),
-            best_probability(F.col("_s")).alias("prob_out"),
-        )
+    scored = scores.withColumn("_s", values).select(
+        "dictionary",
+        "id",
+        *carry,
+        best_label(F.col("_s"), label_array(model.labels)).alias("label_out"),
+        best_probability(F.col("_s")).alias("prob_out"),
+    )
+    trained = model.weights.filter(F.col("token") == _PRIOR).select("dictionary")
+    others = entries.join(trained, "dictionary", "left_anti").select(
+        "dictionary",
+        "id",
+        *carry,
+        F.lit(None).cast("string").alias("label_out"),
+        F.lit(None).cast("double").alias("prob_out"),
     )
+    return scored.unionByName(others)
 
 
 def encode_text(entries: DataFrame, buckets: int = 1 << 18) -> DataFrame:

@@ -19,9 +19,6 @@ from termtide.session import local_table
 
 _KEY = "_key"
 
-# Longest list a word may have when repeated labels are asked for.
-MAX_REPEATS = 10_000
-
 
 class UnknownLabelError(ValueError):
     """A label that is neither used nor in the hierarchy."""
@@ -31,20 +28,14 @@ def _in_order(labels: str = "_pairs"):
     return F.transform(F.array_sort(F.col(labels)), lambda pair: pair["label"])
 
 
-def label_lists(lexicon: DataFrame, repeats: bool = False) -> DataFrame:
+def label_lists(lexicon: DataFrame) -> DataFrame:
     """One row per word with its labels in file order.
 
     A list holds each label once, at its first place, so its length is bounded
-    by the label set however often a line is repeated. ``repeats=True`` keeps
-    repeated lines, after checking that no word has too many of them.
+    by the label set however often a line is repeated. Repeated lines are kept in
+    the long form of a lexicon, which needs no list.
     """
-    pairs = lexicon.select("word", "label", "ord")
-    if repeats:
-        longest = pairs.groupBy("word").count().agg(F.max("count")).first()[0] or 0
-        if longest > MAX_REPEATS:
-            raise ValueError(f"a word has {longest} lines; lists with repeats are too long")
-    else:
-        pairs = pairs.groupBy("word", "label").agg(F.min("ord").alias("ord"))
+    pairs = lexicon.groupBy("word", "label").agg(F.min("ord").alias("ord"))
     return (
         pairs.groupBy("word")
         .agg(F.collect_list(F.struct("ord", "label")).alias("_pairs"))
@@ -163,7 +154,8 @@ def rollup_map(hierarchy: DataFrame | None, used: DataFrame) -> DataFrame:
 
     A used label goes to itself, any other to its nearest used ancestor or, at a
     root, nowhere (null). ``dangling`` marks a chain that ends in a label the
-    hierarchy does not hold. A cycle ends with Spark's recursion limit as an error.
+    hierarchy does not hold. A path longer than the tree has rows is a cycle, and an
+    error.
     """
     chosen = used.select(F.col("label")).distinct()
     itself = chosen.select("label", F.col("label").alias("used_label"), F.lit(False).alias("dangling"))
@@ -173,7 +165,7 @@ def rollup_map(hierarchy: DataFrame | None, used: DataFrame) -> DataFrame:
     spark = hierarchy.sparkSession
     upward = spark.sql(
         """
-        WITH RECURSIVE upward(label, node, depth) AS (
+        WITH RECURSIVE upward(label, node, depth) MAX RECURSION LEVEL __LEVELS__ AS (
             SELECT child, parent, 1
             FROM {steps} LEFT ANTI JOIN {chosen} ON child = {chosen}.label
             UNION ALL
@@ -186,7 +178,7 @@ def rollup_map(hierarchy: DataFrame | None, used: DataFrame) -> DataFrame:
         SELECT label, max_by(node, depth) AS node, max(depth) AS depth,
                count_if(node IS NULL) > 0 AS at_root
         FROM upward GROUP BY label
-        """,
+        """.replace("__LEVELS__", str(steps.count() + 1)),
         steps=steps,
         chosen=chosen,
     )

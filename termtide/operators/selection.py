@@ -23,10 +23,10 @@ _RANGES = 4096
 
 
 def with_quality_at_least(entries: DataFrame, threshold: int) -> DataFrame:
-    """Entries of at least this quality; a dictionary without quality stays whole."""
+    """Entries of at least this quality; a dictionary without quality (none or null) stays whole."""
     if "quality" not in entries.columns:
         return entries
-    return entries.filter(F.col("quality") >= threshold)
+    return entries.filter(F.col("quality").isNull() | (F.col("quality") >= threshold))
 
 
 def with_confidence_at_least(scored: DataFrame, threshold: float) -> DataFrame:
@@ -36,7 +36,9 @@ def with_confidence_at_least(scored: DataFrame, threshold: float) -> DataFrame:
 def unlabelled_positive(scored: DataFrame) -> DataFrame:
     """The report's view: no known label and, where there is a quality, a positive one."""
     kept = scored.filter(F.col("label").isNull()) if "label" in scored.columns else scored
-    return kept.filter(F.col("quality") > 0) if "quality" in kept.columns else kept
+    if "quality" not in kept.columns:
+        return kept
+    return kept.filter(F.col("quality").isNull() | (F.col("quality") > 0))
 
 
 def _ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column | int) -> DataFrame:
@@ -81,12 +83,18 @@ def top_n_per_word(entries: DataFrame, n: int, by: str = "input") -> DataFrame:
     """The first ``n`` entries of each word (and dictionary).
 
     ``by='input'`` goes by ``id``, ``by='quality'`` by quality, best first. A
-    dictionary without quality stays whole, as its entries cannot be compared.
+    dictionary without quality (no such column, or null) stays whole, as its entries
+    cannot be compared.
     """
-    if "quality" not in entries.columns:
-        return entries
     if by not in ("input", "quality"):
         raise ValueError(f"unknown order {by!r}")
+    if "quality" not in entries.columns:
+        return entries
+    compared = _top_n(entries.filter(F.col("quality").isNotNull()), n, by)
+    return compared.unionByName(entries.filter(F.col("quality").isNull()))
+
+
+def _top_n(entries: DataFrame, n: int, by: str) -> DataFrame:
     keys = _word_keys(entries)
     order = [F.asc("id")] if by == "input" else [F.desc_nulls_last("quality"), F.asc("id")]
     if n <= _PRUNED_RANKS:

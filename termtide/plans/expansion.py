@@ -16,11 +16,12 @@ def expand_lexicon(
 
     Of a word's confident entries the last one counts, or the most confident
     one with ``keep='best'``. One label per word is left before the join with
-    the lexicon, so a frequent word is no burden there.
+    the lexicon, so a frequent word is no burden there. Words that differ in case only
+    are one term, in lower case.
     """
     if keep not in ("last", "best"):
         raise ValueError(f"unknown choice {keep!r}")
-    confident = with_confidence_at_least(scored, threshold)
+    confident = with_confidence_at_least(scored, threshold).withColumn("word", F.lower("word"))
     single = last_wins(confident) if keep == "last" else best_wins(confident)
     fresh = new_terms(single, lexicon)
     names = ["dictionary"] if "dictionary" in fresh.columns else []

@@ -206,7 +206,7 @@ def src_dataset(spark, sf_dir):
 def src_scored(spark, sf_dir):
     path = scratch_path(spark, "scored")
     tables.write_scored(standins.scored(spark, sf_dir), path)
-    return tables.read_scored(spark, path, "d1").select(
+    return tables.read_scored(spark, path).select(
         "dictionary", "id", "label_out", F.round("prob_out", 6).alias("prob_out")
     )
 
@@ -831,6 +831,15 @@ def job_valid_entries(spark, sf_dir):
     return _valid(spark, sf_dir).select("dictionary", "id", "word", "text", "quality", "label")
 
 
+@query
+def job_valid_entries_mixed(spark, sf_dir):
+    """The same where one of the dictionaries has no quality."""
+    entries = standins.plain_entries(spark, sf_dir)
+    bare = entries.withColumn("quality", F.when(F.col("dictionary") != "d1", F.col("quality")))
+    valid = valid_entries(bare, standins.lexicon(spark, sf_dir), [standins.frequent_words(spark, sf_dir)], RULES)
+    return valid.select("dictionary", "id", "word", "text", "quality", "label")
+
+
 @query
 def job_split_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir).select("dictionary", "id", "word", "quality", "label", "split")
@@ -851,7 +860,7 @@ def job_ask_labels(spark, sf_dir):
         return reply
 
     first = F.lower(F.regexp_extract("text", r"(\p{L}+)", 1))
-    asked = standins.turns(spark, sf_dir).withColumn("word", first).filter("word <> ''").drop("answer")
+    asked = standins.user_turns(spark, sf_dir).withColumn("word", first).filter("word <> ''")
     out = ask_labels(
         asked, load, TURN_LABELS, LEXICON_NAME, "by-length", scratch_path(spark, "answers")
     )

@@ -383,7 +383,7 @@ ORACLE: dict[str, str] = {
     "src_term_list": f"{_B} SELECT DISTINCT word AS term FROM entries",
     "src_dataset": f"{_D} SELECT dictionary, id, word, label, split FROM dataset",
     "src_scored": f"""{_B} SELECT dictionary, id, label_out, round(prob_out, 6) AS prob_out
-        FROM scored WHERE dictionary = 'd1'""",
+        FROM scored""",
     "src_answers": f"""{_B} SELECT word AS key, CAST(max(id) AS VARCHAR) AS value
         FROM entries GROUP BY word""",
     # --- sinks
@@ -583,13 +583,16 @@ ORACLE: dict[str, str] = {
     # --- jobs
     "agg_run_summary": _with(_BASE, _SETS, _LABEL_INDEX, _MODEL, _SUMMARY) + " SELECT * FROM summary",
     "job_valid_entries": f"{_D} SELECT dictionary, id, word, text, quality, label FROM valid",
+    "job_valid_entries_mixed": f"""{_D} SELECT dictionary, id, word, text, quality, label FROM valid
+        WHERE dictionary <> 'd1'
+        UNION ALL SELECT dictionary, id, word, text, NULL, label FROM allowed WHERE dictionary = 'd1'""",
     "job_split_dataset": f"{_D} SELECT dictionary, id, word, quality, label, split FROM dataset",
     "job_expand_lexicon": _with(_BASE, _grown("scored", "grown").format(threshold=0.8))
     + " SELECT dictionary, term, label, round(prob_out, 6) AS prob_out FROM grown",
     "job_ask_labels": rf"""{_B},
         asked AS (
             SELECT conv_id, turn, lower(regexp_extract(text, '(\p{{L}}+)', 1)) AS word, text
-            FROM turns WHERE regexp_extract(text, '(\p{{L}}+)', 1) <> ''
+            FROM conversations WHERE role = 'user' AND regexp_extract(text, '(\p{{L}}+)', 1) <> ''
         ),
         prompts AS (
             SELECT conv_id, turn, word,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from termtide.functions.labels import label_subset, strip_wildcard
 from termtide.functions.text import strip
+from termtide.operators.joins import lookup_join
 from termtide.sources.fixed import WIDE_NOT_CATEGORIES
 from termtide.sources.lines import numbered, place, text_lines, with_place
 
@@ -44,15 +45,17 @@ def read_lexicon_dic(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered(text_lines(spark, path))
     fields = F.split(strip(F.col("value")), "\\s*\t\\s*")
     rows = lines.filter(~strip(F.col("value")).isin("%", "")).select("line", fields.alias("f"))
-    is_body = F.col("f")[1].rlike("^[0-9]+$")
-    header = rows.filter(~is_body).select(F.col("f")[0].alias("_id"), F.col("f")[1].alias("label"))
+    message = F.format_string("neither category nor pattern at line %d", F.col("line"))
+    second = F.coalesce(F.get("f", F.lit(1)), F.raise_error(message))
+    is_body = second.rlike("^[0-9]+$")
+    header = rows.filter(~is_body).select(F.col("f")[0].alias("_id"), second.alias("label"))
     body = rows.filter(is_body).select(
         F.lower(F.col("f")[0]).alias("pattern"),
         "line",
         F.posexplode(F.slice("f", 2, F.size("f"))).alias("_pos", "_id"),
     )
-    # one row per category, while a single category may be on most lines
-    named = body.join(F.broadcast(header), "_id", "left")
+    # one row per category in a sound file; in a broken one most lines, so its size decides
+    named = lookup_join(body, header, ["_id"], "left")
     missing = F.raise_error(F.format_string("no category with id %s", F.col("_id")))
     return named.select(
         strip_wildcard(F.col("pattern")).alias("word"),
@@ -83,15 +86,17 @@ def read_lexicon_wide(
     path: str,
     use_labels: Iterable[str] | None = None,
     not_categories: Iterable[str] = WIDE_NOT_CATEGORIES,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Tool output with one row per word (``Text``) and one numeric column per category.
 
     Rows without lexicon words (``Dic`` not above 0) and words without a
     category are left out. A value that is no number fails the job. Labels are
-    in column order; picking them needs no reshuffling of the wide rows.
+    in column order; picking them needs no reshuffling of the wide rows. With
+    ``multi_line`` values may hold line breaks, and each file is read by one task.
     """
     rows = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False
+        path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False
     )
     skip = {"Text", *not_categories}
     _, *categories = [c for c in rows.columns if c not in skip]

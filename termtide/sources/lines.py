@@ -34,11 +34,12 @@ def place() -> Column:
 def numbered(df: DataFrame, name: str = "line") -> DataFrame:
     """Rows with their number in file order, from 0, as column ``name``.
 
-    A first pass counts the rows of each block; the running total over the
-    blocks (one small row each) gives every block its first number. The table of
-    blocks is written, so its true size decides how it is joined.
+    The placed rows are written once, and both the counts and the rows are taken
+    from that table: read twice, the files might be packed into tasks in another
+    way. The running total over the blocks (one small row each) gives every block
+    its first number.
     """
-    placed = with_place(df)
+    placed = stage(with_place(df), "file-lines")
     sizes = placed.groupBy(*_BLOCK).agg(
         F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first")
     )
@@ -46,11 +47,8 @@ def numbered(df: DataFrame, name: str = "line") -> DataFrame:
     starts = sizes.select(
         *_BLOCK, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    # a block the first pass did not see means the files are now split otherwise
-    changed = F.raise_error(F.lit("files or split size changed since they were opened"))
-    shift = F.coalesce("_shift", changed.cast("bigint"))
-    return placed.join(stage(starts, "file-blocks"), _BLOCK, "left").select(
-        *df.columns, (F.col("_row") + shift).alias(name)
+    return placed.join(stage(starts, "file-blocks"), _BLOCK).select(
+        *df.columns, (F.col("_row") + F.col("_shift")).alias(name)
     )
 
 

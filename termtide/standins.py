@@ -137,6 +137,11 @@ def vote_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, text`` of all user turns."""
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, text, answer``: user turns with the text that follows."""
     talk = table(spark, sf_dir, "conversations")

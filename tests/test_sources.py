@@ -26,20 +26,18 @@ def as_dict(lists):
 
 def test_lexicon_csv(spark, write):
     path = write(
-        "lex.csv", "﻿timeword,Noun\ncar,noun\neat,verb\n  run,verb\n\tbook,verb \nBook,noun\na,article\nan,article"
+        "lex.csv", "﻿Harbour,Place\n  row,act\nlantern,thing\n\tanchor,act \nAnchor,thing\nquay,place"
     )
     lexicon = read_lexicon_csv(spark, path)
     lists = as_dict(label_lists(lexicon))
     assert lists == {
-        "timeword": ["noun"],
-        "car": ["noun"],
-        "eat": ["verb"],
-        "run": ["verb"],
-        "book": ["verb", "noun"],
-        "a": ["article"],
-        "an": ["article"],
+        "harbour": ["place"],
+        "row": ["act"],
+        "lantern": ["thing"],
+        "anchor": ["act", "thing"],
+        "quay": ["place"],
     }
-    assert {r["label"] for r in label_set(lexicon).collect()} == {"noun", "verb", "article"}
+    assert {r["label"] for r in label_set(lexicon).collect()} == {"place", "act", "thing"}
 
 
 def test_lexicon_csv_repeats_keep_file_order(spark, write):
@@ -47,7 +45,6 @@ def test_lexicon_csv_repeats_keep_file_order(spark, write):
     lexicon = read_lexicon_csv(spark, path)
     assert [r["label"] for r in lexicon.orderBy("ord").collect()] == ["b", "a", "b"]
     assert as_dict(label_lists(lexicon)) == {"w": ["b", "a"]}
-    assert as_dict(label_lists(lexicon, repeats=True)) == {"w": ["b", "a", "b"]}
 
 
 def test_lexicon_csv_order_over_many_splits(spark, write):
@@ -72,10 +69,7 @@ def test_lexicon_csv_separator_and_bad_lines(spark, write):
         read_lexicon_csv(spark, write("bad.csv", "a,x\nword,noun,verb\n")).collect()
 
 
-DIC = (
-    "%\n1\tlabel1\n2\tlabel2\n3\tlabel3\n4\tlabel4\n5\tlabel5\n6\tlabel6\n%\n"
-    "word1\t1\nword2\t2\t3\nword3\t3\t5\nword4\t2\t6\nword5\t6\nwild1*\t3\t5\nwild2*\t2"
-)
+DIC = "%\n10\tsea\n20\tland\n30\tair\n%\nreef\t10\ndune\t20\t10\ngust\t30\nisland*\t20\t30\nsail*\t10"
 
 
 def entries_of(spark, *words):
@@ -86,10 +80,15 @@ def entries_of(spark, *words):
 
 def test_lexicon_dic_strict(spark, write):
     lists = as_dict(strict_lists(read_lexicon_dic(spark, write("lex.dic", DIC))))
-    assert lists["word1"] == ["label1"]
-    assert lists["word2"] == ["label2", "label3"]
-    assert lists["wild1"] == ["label3", "label5"]
-    assert "wild1suffix" not in lists
+    assert lists["reef"] == ["sea"]
+    assert lists["dune"] == ["land", "sea"]
+    assert lists["island"] == ["land", "air"]
+    assert "islander" not in lists
+
+
+def test_lexicon_dic_line_with_one_field(spark, write):
+    with pytest.raises(Exception, match="at line 4"):
+        read_lexicon_dic(spark, write("lex.dic", "%\n1\ta\n%\nx\t1\ny\n")).collect()
 
 
 def test_lexicon_dic_strict_later_pattern_wins(spark, write):
@@ -100,14 +99,14 @@ def test_lexicon_dic_strict_later_pattern_wins(spark, write):
 
 def test_lexicon_dic_prefix(spark, write):
     patterns = read_lexicon_dic(spark, write("lex.dic", DIC))
-    entries = entries_of(spark, "word1suffix", "wild1", "Wild1suffix", "wild", "word3", None)
+    entries = entries_of(spark, "reefs", "island", "Islander", "isla", "dune", None)
     labelled = label_prefix(entries, patterns).orderBy("id").collect()
     assert [list(r["labels"]) for r in labelled] == [
         [],
-        ["label3", "label5"],
-        ["label3", "label5"],
+        ["land", "air"],
+        ["land", "air"],
         [],
-        ["label3", "label5"],
+        ["land", "sea"],
         [],
     ]
 
@@ -119,20 +118,18 @@ def test_prefix_prefers_whole_word_then_longest(spark, write):
     assert [list(r["labels"]) for r in labelled] == [["a"], ["a"], ["b"], ["c"], ["b"], []]
 
 
-PIPE = (
-    "pies,Physical|food\nbook,Lifestyle|work\nabusion,Drives|power|Affect|tone_neg\nminute,quantity|time\n"
-)
+PIPE = "plum,Fruit|sweet\nsaw,Tool|steel\nstorm,Weather|wind|Danger\ndozen,count|pack\n"
 
 
 def test_lexicon_pipe(spark, write):
     path = write("pipe.csv", PIPE)
-    assert as_dict(read_lexicon_pipe(spark, path))["minute"] == ["quantity", "time"]
-    chosen = as_dict(read_lexicon_pipe(spark, path, {"Physical", "quantity", "time", "Drives"}))
+    assert as_dict(read_lexicon_pipe(spark, path))["dozen"] == ["count", "pack"]
+    chosen = as_dict(read_lexicon_pipe(spark, path, {"Fruit", "count", "pack", "Weather"}))
     assert chosen == {
-        "pies": ["Physical"],
-        "book": [],
-        "abusion": ["Drives"],
-        "minute": ["quantity", "time"],
+        "plum": ["Fruit"],
+        "saw": [],
+        "storm": ["Weather"],
+        "dozen": ["count", "pack"],
     }
 
 
