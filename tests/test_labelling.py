@@ -16,13 +16,13 @@ from termtide.operators import labelling
 from termtide.sources.fixed import PSYCH_2015_TREE, VALUES_TREE, VALUES_USED, hierarchy_table
 
 TREE = {
-    "label1": None,
-    "label2": "label1",
-    "label3": "label1",
-    "label4": "label3",
-    "label5": "label3",
-    "label6": None,
-    "label7": "label5",
+    "plant": None,
+    "tree": "plant",
+    "herb": "plant",
+    "mint": "herb",
+    "oak": "tree",
+    "acorn": "oak",
+    "stone": None,
 }
 
 
@@ -43,68 +43,68 @@ def labels_by_id(df):
 def values(spark):
     return lexicon_of(
         spark,
-        ("word1", "life"),
-        ("word2", "life"),
-        ("word1", "order"),
-        ("word3", "family"),
-        ("word4", "order"),
-        ("word5", "truth"),
-        ("word5", "religion"),
+        ("oar", "order"),
+        ("rope", "truth"),
+        ("oar", "life"),
+        ("nest", "family"),
+        ("rule", "religion"),
+        ("star", "life"),
+        ("star", "order"),
     )
 
 
 def test_exact(spark, values):
-    entries = entries_of(spark, "Word1", "word3", "blah", None)
-    assert labels_by_id(labelling.label_exact(entries, values)) == [["life", "order"], ["family"], [], []]
+    entries = entries_of(spark, "Oar", "nest", "mist", None)
+    assert labels_by_id(labelling.label_exact(entries, values)) == [["order", "life"], ["family"], [], []]
 
 
 def test_first(spark, values):
-    entries = entries_of(spark, "Word1", "word5", "blah", None)
+    entries = entries_of(spark, "Oar", "star", "mist", None)
     rows = labelling.label_first(entries, values).orderBy("id").collect()
-    assert [(r["word"], r["label"]) for r in rows] == [("Word1", "life"), ("word5", "truth")]
+    assert [(r["word"], r["label"]) for r in rows] == [("Oar", "order"), ("star", "life")]
     lists = labelling.label_lists(values)
     again = labelling.label_first(entries, lists).orderBy("id").collect()
     assert again == rows
 
 
 def test_rollup_map(spark):
-    used = spark.createDataFrame([("label1",), ("label3",)], "label string")
+    used = spark.createDataFrame([("plant",), ("tree",)], "label string")
     moves = labelling.rollup_map(hierarchy_table(spark, TREE), used).collect()
     assert {r["label"]: r["used_label"] for r in moves} == {
-        "label1": "label1",
-        "label2": "label1",
-        "label3": "label3",
-        "label4": "label3",
-        "label5": "label3",
-        "label6": None,
-        "label7": "label3",
+        "plant": "plant",
+        "tree": "tree",
+        "herb": "plant",
+        "mint": "plant",
+        "oak": "tree",
+        "acorn": "tree",
+        "stone": None,
     }
     assert not any(r["dangling"] for r in moves)
 
 
 def test_rollup_lists_drop_repeats(spark):
-    lexicon = lexicon_of(spark, ("a", "label1"), ("a", "label2"), ("b", "label6"), ("c", "label7"), ("c", "label1"))
-    grown = labelling.rollup_lexicon(lexicon, hierarchy_table(spark, TREE), ["label1", "label3"])
+    lexicon = lexicon_of(spark, ("a", "plant"), ("a", "mint"), ("b", "stone"), ("c", "acorn"), ("c", "plant"))
+    grown = labelling.rollup_lexicon(lexicon, hierarchy_table(spark, TREE), ["plant", "tree"])
     rows = labelling.label_lists(grown).collect()
-    assert {r["word"]: list(r["labels"]) for r in rows} == {"a": ["label1"], "c": ["label3", "label1"]}
+    assert {r["word"]: list(r["labels"]) for r in rows} == {"a": ["plant"], "c": ["tree", "plant"]}
 
 
 def test_mapped(spark, values):
     tree = {"life": None, "order": None, "family": None, "social": "order", "truth": "life", "religion": "order"}
-    entries = entries_of(spark, "word1", "word3", "word4", "word5", "word6")
+    entries = entries_of(spark, "oar", "nest", "rule", "star", "mist")
     labelled = labelling.label_mapped(entries, values, hierarchy_table(spark, tree), ["life", "family"])
     assert labels_by_id(labelled) == [["life"], ["family"], [], ["life"], []]
     as_is = labelling.label_mapped(entries, values, None, None)
-    assert labels_by_id(as_is)[0] == ["life", "order"]
+    assert labels_by_id(as_is)[0] == ["order", "life"]
     # without a tree labels that are not used drop
     no_tree = labelling.label_mapped(entries, values, None, ["order"])
-    assert labels_by_id(no_tree) == [["order"], [], ["order"], [], []]
+    assert labels_by_id(no_tree) == [["order"], [], [], ["order"], []]
 
 
 def test_mapped_values_tree(spark, values):
-    entries = entries_of(spark, "Word1", "word4", "word5", "word3")
+    entries = entries_of(spark, "Oar", "rule", "star", "nest")
     labelled = labelling.label_mapped(entries, values, hierarchy_table(spark, VALUES_TREE), VALUES_USED)
-    assert labels_by_id(labelled) == [["life", "order"], ["order"], ["truth", "religion"], ["social"]]
+    assert labels_by_id(labelled) == [["order", "life"], ["religion"], ["life", "order"], ["social"]]
 
 
 @pytest.mark.parametrize("tree", [{"life": None}, {"life": None, "truth": "gone", "religion": None, "order": None, "family": None}])
@@ -119,6 +119,13 @@ def test_cycle_fails(spark, values):
         labelling.rollup_lexicon(values, hierarchy_table(spark, tree), ["life"]).collect()
 
 
+def test_deep_tree(spark):
+    deep = {"n0": None, **{f"n{i}": f"n{i - 1}" for i in range(1, 301)}}
+    used = spark.createDataFrame([("n0",)], "label string")
+    moves = labelling.rollup_map(hierarchy_table(spark, deep), used).collect()
+    assert len(moves) == 301 and {r["used_label"] for r in moves} == {"n0"}
+
+
 def test_trees_are_closed():
     for tree in (PSYCH_2015_TREE, VALUES_TREE):
         assert all(parent is None or parent in tree for parent in tree.values())
@@ -136,15 +143,15 @@ def test_exclusions(spark):
 
 def test_new_terms_and_expanded(spark, values):
     predicted = spark.createDataFrame(
-        [("Word1", "x"), ("Play", "verb"), ("game", "noun")], "term string, label string"
+        [("Oar", "x"), ("Drift", "act"), ("tide", "thing")], "term string, label string"
     )
     fresh = labelling.new_terms(predicted, values, "term")
-    assert sorted(r["term"] for r in fresh.collect()) == ["Play", "game"]
-    entries = entries_of(spark, "play", "GAME", "word1", "blah")
+    assert sorted(r["term"] for r in fresh.collect()) == ["Drift", "tide"]
+    entries = entries_of(spark, "drift", "TIDE", "oar", "mist")
     found = labelling.label_expanded(entries, fresh, values)
-    assert labels_by_id(found) == [["verb"], ["noun"], ["life", "order"], []]
+    assert labels_by_id(found) == [["act"], ["thing"], ["order", "life"], []]
     # a word whose list is empty has no label yet
-    lists = spark.createDataFrame([("game", [])], "word string, labels array<string>")
+    lists = spark.createDataFrame([("tide", [])], "word string, labels array<string>")
     assert labelling.new_terms(predicted, lists, "term").count() == 3
 
 

@@ -2,8 +2,8 @@ import pytest
 
 from termtide.operators import metrics
 
-PERFECT = [("label1", "label1", 0.1), ("label2", "label2", 0.4), ("label3", "label3", 0.7), ("label4", "label4", 0.9)]
-HALF = [("label1", "label1", 0.4), ("label2", "label2", 0.6), ("label3", "label2", 0.7), ("label4", "label3", 0.9)]
+PERFECT = [("north", "north", 0.2), ("east", "east", 0.3), ("south", "south", 0.6), ("west", "west", 0.8)]
+HALF = [("north", "north", 0.3), ("east", "south", 0.55), ("south", "south", 0.75), ("west", "north", 0.95)]
 
 
 def frame(spark, rows):

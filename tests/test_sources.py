@@ -134,37 +134,37 @@ def test_lexicon_pipe(spark, write):
 
 
 def test_lexicon_pipe_last_row_wins_and_case_stays(spark, write):
-    lists = as_dict(read_lexicon_pipe(spark, write("pipe.csv", "a,x|y\nPies,z\na,z\n")))
-    assert lists == {"a": ["z"], "Pies": ["z"]}
+    lists = as_dict(read_lexicon_pipe(spark, write("pipe.csv", "a,x|y\nPlum,z\na,z\n")))
+    assert lists == {"a": ["z"], "Plum": ["z"]}
 
 
 def wide_file(rows):
-    head = ["", "ColumnID", "Text", *[c for c in WIDE_NOT_CATEGORIES if c != "ColumnID"], "food", "Physical", "work"]
+    head = ["", "ColumnID", "Text", *[c for c in WIDE_NOT_CATEGORIES if c != "ColumnID"], "Fruit", "Tool", "Place"]
     lines = [",".join(head)]
-    for i, (word, dic, food, physical, work) in enumerate(rows):
-        values = {"": i, "ColumnID": "word", "Text": word, "Dic": dic, "food": food, "Physical": physical, "work": work}
+    for i, (word, dic, fruit, tool, place) in enumerate(rows):
+        values = {"": i, "ColumnID": "word", "Text": word, "Dic": dic, "Fruit": fruit, "Tool": tool, "Place": place}
         lines.append(",".join(str(values.get(c, 0)) for c in head))
     return "\n".join(lines)
 
 
 def test_lexicon_wide(spark, write):
     rows = [
-        ("pies", 100, 50, 0, 0),
-        ("swop", 0, 9, 9, 9),
-        ("work", 100, 0, 0, 0),
-        ("pies", 100, 33.3, 100, 0),
-        ("pies", 100, 0, 0, 0),
-        ("desk", 50, 0, 0, 1),
+        ("plum", 90, 40, 0, 0),
+        ("mist", 0, 7, 7, 7),
+        ("quay", 80, 0, 0, 0),
+        ("plum", 90, 12.5, 60, 0),
+        ("plum", 90, 0, 0, 0),
+        ("pier", 30, 0, 0, 2),
     ]
     path = write("wide.csv", wide_file(rows))
     # the last row that has a category counts
-    assert as_dict(read_lexicon_wide(spark, path)) == {"pies": ["food", "Physical"], "desk": ["work"]}
-    assert as_dict(read_lexicon_wide(spark, path, ["Physical"])) == {"pies": ["Physical"]}
+    assert as_dict(read_lexicon_wide(spark, path)) == {"plum": ["Fruit", "Tool"], "pier": ["Place"]}
+    assert as_dict(read_lexicon_wide(spark, path, ["Tool"])) == {"plum": ["Tool"]}
 
 
 def test_lexicon_wide_rejects_text(spark, write):
-    path = write("wide.csv", wide_file([("pies", 100, "x", 0, 0)]))
-    with pytest.raises(Exception, match="food is no number for word pies"):
+    path = write("wide.csv", wide_file([("plum", 90, "x", 0, 0)]))
+    with pytest.raises(Exception, match="Fruit is no number for word plum"):
         read_lexicon_wide(spark, path).collect()
 
 
@@ -176,15 +176,15 @@ def test_lists_back_to_long(spark, write):
 VOTES = "\n".join(
     [
         "|".join(VOTE_COLUMNS),
-        "b%20stalking|1|Jen|when someone, like backwards|\"So how\" \"Horrible.\"|10-07-2008|2|1|#facebook#e-mail",
-        "DHET|2|G|Dude+Hates 100% of it|That DHET||4|9|#dude#LOL",
-        "A|3|L|a|a|09-12-2018|128|15|",
-        "Kolesar|4|An|wheel maker||20-05-2003|11|3|",
-        "Case Test|1234|author|Some Meaning|Some Example||0|0|Tag List",
-        "bad entry||author||||||",
-        "bad entry 2||author||||2||",
-        "bad entry 3||author|||3|||",
-        "bad entry 4||author||||12abc|3|",
+        "low%20tide|7|kit|hours of ebb, or so|\"Wait for it\" \"Gone.\"|01-02-2011|5|2|#shore#half-day",
+        "SPRAY|8|ola|Water+with 50% salt|More SPRAY||1|6|#wet#Wind",
+        "O|9|m|o|o|03-04-2012|70|30|",
+        "Gannet|10|pim|diving bird||05-06-2013|9|4|",
+        "Sea Fog|11|rae|Cold Air|Warm Water||3|3|Grey Day",
+        "no votes||rae||||||",
+        "one vote||rae||||6||",
+        "other vote||rae|||4|||",
+        "odd vote||rae||||31x|5|",
     ]
 )
 
@@ -192,39 +192,39 @@ VOTES = "\n".join(
 def test_dictionary_votes(spark, write):
     rows = read_dictionary_votes(spark, write("votes.dat", VOTES)).orderBy("id").collect()
     assert [r["id"] for r in rows] == [0, 1, 2, 3, 4]
-    assert [r["word"] for r in rows] == ["b stalking", "dhet", "a", "kolesar", "case test"]
-    assert [r["quality"] for r in rows] == [1, -5, 113, 8, 0]
-    assert rows[0]["text"] == 'facebook e-mail when someone, like backwards "So how" "Horrible."'
-    assert rows[1]["text"] == "dude lol Dude Hates 100% of it That DHET"
-    assert rows[3]["text"] == "wheel maker"
-    assert rows[4]["text"] == "tag list Some Meaning Some Example"
+    assert [r["word"] for r in rows] == ["low tide", "spray", "o", "gannet", "sea fog"]
+    assert [r["quality"] for r in rows] == [3, -5, 40, 5, 0]
+    assert rows[0]["text"] == 'shore half-day hours of ebb, or so "Wait for it" "Gone."'
+    assert rows[1]["text"] == "wet wind Water with 50% salt More SPRAY"
+    assert rows[3]["text"] == "diving bird"
+    assert rows[4]["text"] == "grey day Cold Air Warm Water"
 
 
 def test_dictionary_reviewed(spark, write):
     path = write(
         "reviewed.csv",
-        ',word,meaning,example\n0,gnu fdl,initialism.,\n11,entry,"meaning with, comma","example with, comma"\n'
-        '12,entry 1,meaning only,\n13,entry 2,,example only\n14,Entry 3,Meaning,"two\nlines, ""quoted"""\n',
+        ',word,meaning,example\n4,oar,a lever,\n5,hull,"wide, low","ribs, planks"\n'
+        '6,keel,lowest beam,\n9,mast,,stands upright\n12,Jib,Sail,"cut\nflat, ""taut"""\n',
     )
-    rows = read_dictionary_reviewed(spark, path).orderBy("id").collect()
+    rows = read_dictionary_reviewed(spark, path, multi_line=True).orderBy("id").collect()
     assert [r["text"] for r in rows] == [
-        "initialism.",
-        "meaning with, comma example with, comma",
-        "meaning only",
-        "example only",
-        'Meaning two\nlines, "quoted"',
+        "a lever",
+        "wide, low ribs, planks",
+        "lowest beam",
+        "stands upright",
+        'Sail cut\nflat, "taut"',
     ]
-    assert rows[-1]["word"] == "entry 3"
+    assert rows[-1]["word"] == "jib"
     assert {r["quality"] for r in rows} == {100}
 
 
 def test_dictionary_pos(spark, write):
-    path = write("pos.csv", "word,pos,text\nCar,n.,Vehicle to ride\nCat,n.,\nStudy,v.,Action\n")
+    path = write("pos.csv", "word,pos,text\nTern,n.,Bird of the coast\nShoal,n.,\nFurl,v.,Roll up\n")
     rows = read_dictionary_pos(spark, path).orderBy("id").collect()
     assert [(r["id"], r["word"], r["pos"], r["text"]) for r in rows] == [
-        (0, "car", "n.", "Vehicle to ride"),
-        (1, "cat", "n.", ""),
-        (2, "study", "v.", "Action"),
+        (0, "tern", "n.", "Bird of the coast"),
+        (1, "shoal", "n.", ""),
+        (2, "furl", "v.", "Roll up"),
     ]
 
 
