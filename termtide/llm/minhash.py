@@ -77,7 +77,7 @@ def shingle_hashes(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarra
         return np.zeros(0, np.uint64)
     if len(known) > _WORDS_KEPT:
         known.clear()
-    for word in set(words) - known.keys():
+    for word in set(words).difference(known):
         known[word] = xxhash.xxh3_64_intdigest(word)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(size, len(words))

@@ -118,7 +118,7 @@ class PieceEncoder:
         known = self.known
         cut = [self.cut(t) for t in texts]
         own = set().union(*cut)
-        new = own - known.keys()
+        new = own.difference(known)
         if len(known) + len(new) > self.memory:
             known.clear()
             new = own

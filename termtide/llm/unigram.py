@@ -278,7 +278,7 @@ class Unigram:
         """Ids (little-endian 32-bit) and score of each text."""
         cut = [self.words(t) for t in texts]
         own = set().union(*cut)
-        new = list(own - self.ids.keys())
+        new = list(own.difference(self.ids))
         if len(self.ids) + len(new) > self.memory:
             self.ids, self.score = {}, {}
             new = list(own)
