@@ -115,7 +115,7 @@ def repeat_filter(hashes: DataFrame, cells: int, probes: int = PROBES) -> np.nda
     )
     bits = np.zeros(cells // 8, np.uint8)
     width = _BLOCK // 8
-    for row in merged.toLocalIterator():  # at most cells / 8 bytes, see MAX_CELLS
+    for row in merged.collect():  # at most cells / 8 bytes, see MAX_CELLS
         bits[row.block * width : (row.block + 1) * width] = np.frombuffer(row.twice, np.uint8)
     return bits
 

@@ -171,7 +171,7 @@ def list_lengths(sigs: DataFrame) -> np.ndarray:
     the data. It only serves to order the lists, the same for all documents."""
     blocks = sigs.mapInArrow(_count_cells, "block bigint, counts binary").repartition("block").sortWithinPartitions("block")
     logs = np.zeros(_CELLS, np.uint8)
-    for row in blocks.mapInArrow(_add_cells, "block bigint, logs binary").toLocalIterator():
+    for row in blocks.mapInArrow(_add_cells, "block bigint, logs binary").collect():
         logs[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.logs, np.uint8)
     return logs
 

@@ -46,7 +46,7 @@ GROUP_CHUNKS = 1 << 16
 ARRAY_BYTES = 400_000
 PROBES = 2
 MAX_CELLS = 1 << 27
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _NO_ID = -(1 << 63)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
