@@ -28,7 +28,7 @@ from termtide.sources.tables import read_manifest, write_manifest
 
 
 class ExperimentExistsError(FileExistsError):
-    """The folder holds an experiment with other parameters."""
+    """The folder holds an experiment with other parameters or inputs."""
 
 
 @dataclass(frozen=True)
@@ -66,17 +66,36 @@ class Experiment:
         self.exclusions = list(exclusions)
         self.overwrite = overwrite
         self.path = f"{root.rstrip('/')}/{conf.name}"
+        self._mark: dict | None = None
+        self._n_dictionaries: int | None = None
 
     @property
     def _spark(self) -> SparkSession:
         return self.entries.sparkSession
 
     def _current(self) -> dict:
-        """``fingerprint, run`` of the last run begun in this folder, or nothing."""
-        started = f"{self.path}/started"
-        if not path_exists(self._spark, started + "/_SUCCESS"):
-            return {}
-        return read_manifest(self._spark, started)
+        """``fingerprint, run`` of the last run begun in this folder, or nothing; read once."""
+        if self._mark is None:
+            started = f"{self.path}/started"
+            if not path_exists(self._spark, started + "/_SUCCESS"):
+                return {}
+            self._mark = read_manifest(self._spark, started)
+        return self._mark
+
+    def _fingerprint(self) -> str:
+        """Of the parameters and the inputs: rows and an order-free hash of each table."""
+        seen = []
+        for table in (self.entries, self.lexicon, *self.exclusions):
+            columns = sorted(table.columns)
+            total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("total")
+            found = [F.count(F.lit(1)).alias("n"), total]
+            if table is self.entries:
+                found.append(F.count_distinct("dictionary").alias("dictionaries"))
+            row = table.agg(*found).first()
+            if table is self.entries:
+                self._n_dictionaries = row["dictionaries"]
+            seen.append([columns, row["n"], row["total"]])
+        return hashlib.sha256(json.dumps([self.conf.fingerprint(), seen]).encode()).hexdigest()
 
     def _at(self, stage: str) -> str:
         return f"{self.path}/run-{self._current()['run']}/{stage}"
@@ -91,16 +110,18 @@ class Experiment:
         """Go on with the last run, or begin a new one in a folder of its own.
 
         Overwriting begins a new run, so stages of an earlier one, which may be
-        for other parameters, are never taken for its own.
+        for other parameters or inputs, are never taken for its own.
         """
         current = self._current()
+        fingerprint = self._fingerprint()
         if current and not self.overwrite:
-            if current["fingerprint"] != self.conf.fingerprint():
-                raise ExperimentExistsError(f"{self.path} holds an experiment with other parameters")
+            if current["fingerprint"] != fingerprint:
+                raise ExperimentExistsError(f"{self.path} holds an experiment with other parameters or inputs")
             return
-        mark = [(self.conf.fingerprint(), uuid.uuid4().hex)]
-        table = self._spark.createDataFrame(mark, "fingerprint string, run string")
+        mark = {"fingerprint": fingerprint, "run": uuid.uuid4().hex}
+        table = self._spark.createDataFrame([tuple(mark.values())], "fingerprint string, run string")
         write_manifest(table, f"{self.path}/started", overwrite=True)
+        self._mark = mark
 
     def _stage(self, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         path = self._at(name)
@@ -126,7 +147,7 @@ class Experiment:
             "valid", lambda: valid_entries(self.entries, self.lexicon, self.exclusions, conf.rules)
         )
         words = self._stage("words", lambda: word_counts(valid))
-        terms = self._stage("terms", lambda: test_terms(words, conf.size, seed=conf.seed))
+        terms = self._stage("terms", lambda: test_terms(words, conf.size, self._n_dictionaries, conf.seed))
         self._stage("dataset", lambda: split_dataset(valid, terms, conf.seed), by="split")
         model = self._model()
         self._stage(
