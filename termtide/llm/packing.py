@@ -298,9 +298,8 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     )
     full = items.filter(F.col("length") == capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("bigint").alias("offset"))
     places = single.unionByName(inner).unionByName(full)
-    return (
-        numbered.join(places.withColumnRenamed("item", "_item"), "_item").withColumnRenamed("bin", "sequence_id").drop("_item")
-    )
+    places = places.select(F.col("item").alias("_item"), F.col("bin").alias("sequence_id"), "offset")
+    return numbered.join(places, "_item").drop("_item")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
