@@ -102,7 +102,7 @@ def test_expand_lexicon(spark, lexicon):
     def terms(**options):
         return {r["term"]: r["label"] for r in expand_lexicon(scored, lexicon, **options).collect()}
 
-    assert terms() == {"new": "c", "New2": "a"}
+    assert terms() == {"new": "c", "new2": "a"}
     assert terms(threshold=0.5) == {"new": "b"}
     assert terms(threshold=0.5, keep="best") == {"new": "a"}
     with pytest.raises(ValueError):
