@@ -6,8 +6,8 @@ that have it. Documents similar enough agree in at least ``match_threshold``
 coordinates but with negligible probability, and then, in any fixed order of the
 lists, their first ``COORDINATES - match_threshold + 1`` lists (the prefix) have
 one in common. Lists are ordered by length, shortest first, so that the long lists
-of common shingles are skipped: collisions in them are only counted, by comparing
-signatures, for pairs that meet in a shorter one.
+of common shingles are skipped: collisions in them are only counted, on sketches of the
+signatures that lie beside the postings, for pairs that meet in a shorter one.
 
 Documents with equal sets are one representative. Pairs are then met list by list
 without listing all pairs of a group: in each round every representative meets
@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termtide.llm.common import by_size, byte_pieces
@@ -177,36 +177,47 @@ def list_lengths(sigs: DataFrame) -> np.ndarray:
 
 
 def postings(reps: DataFrame, threshold: int) -> DataFrame:
-    """``key, rep``: each representative (``rep, sig``) under the lists of its prefix."""
+    """``key, rep`` and the sketch: each representative (``rep, sig``) under the lists of its prefix."""
     prefix = COORDINATES - threshold + 1
     lengths = reps.sparkSession.sparkContext.broadcast(list_lengths(reps.select("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(batch.column("sig").to_pylist())
+                sigs = batch.column("sig").to_pylist()
+                keys = _keys(sigs)
                 order = np.lexsort((keys, lengths.value[_cells(keys)]))[:, :prefix]
                 names = np.take_along_axis(keys, order, axis=1).ravel().view(np.int64)
                 reps = np.repeat(batch.column("rep").to_numpy(), prefix)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(reps)], ["key", "rep"])
+                sketch = [pa.array(np.repeat(x, prefix)) for x in _sketches(sigs)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(reps), *sketch], ["key", "rep", *_SKETCH])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key bigint, rep bigint")
+    return reps.select("rep", "sig").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", "rep", *_SKETCH)))
 
 
-def _colliding(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                    for c in ("sig_a", "sig_b")
-                )
-                good = pa.array((a == b).sum(axis=1) >= threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"]
-                )
+_SKETCH = [f"s{i}" for i in range(4)]
 
-    return run
+
+def _sketches(sigs: list[bytes]) -> list[np.ndarray]:
+    """The last four bits of each coordinate, sixteen in a number."""
+    values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, len(_SKETCH), 16).astype(np.uint64) & np.uint64(15)
+    packed = (values << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+    return [packed[:, i].view(np.int64) for i in range(len(_SKETCH))]
+
+
+def _apart() -> Column:
+    """How many coordinates of two documents differ for certain: in their last four bits.
+
+    Equal coordinates never count, so no pair above the match threshold is missed; of
+    other coordinates one in sixteen goes unseen.
+    """
+    counts = []
+    for name in _SKETCH:
+        x = F.col(name).bitwiseXOR(F.col(f"{name}_b"))
+        for bits in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
+        counts.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return sum(counts[1:], counts[0])
 
 
 def _confirmed(size: int, percent: int):
@@ -253,16 +264,24 @@ class _Search:
         return lookup_join(self.lists, known, ["rep"], "left").withColumn("label", F.coalesce("_l", "rep")).drop("_l")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs ``a, n_a, b, n_b``, those whose sets have the similarity."""
-        able = (100 * F.least("n_a", "n_b")) >= self.percent * F.greatest("n_a", "n_b")
-        distinct = stage(pairs.filter(able).select("a", "b").distinct(), "pairs")
-        signed = _with(_with(distinct, self.reps, "a", "sig"), self.reps, "b", "sig")
-        close = stage(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(self.threshold), "a bigint, b bigint"), "close-pairs")
+        """Of pairs ``a, b``, those whose sets have the similarity."""
+        close = stage(pairs.distinct(), "close-pairs")
         ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
         texts = self.texts.join(ends, "rep", "left_semi").select("rep", F.col("text").cast("binary").alias("text"))
         paired = _with(_with(close, texts, "a", "text"), texts, "b", "text")
         return paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.size, self.percent), "a bigint, b bigint")
 
+    def close(self) -> Column:
+        """Sizes and collisions that the similarity needs."""
+        able = (100 * F.least("n_shingles", "n_b")) >= self.percent * F.greatest("n_shingles", "n_b")
+        return able & (_apart() <= COORDINATES - self.threshold)
+
+    @staticmethod
+    def partner() -> list[Column]:
+        """A member's columns as those of the other one."""
+        renamed = [F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), *[F.col(c).alias(f"{c}_b") for c in _SKETCH]]
+        return [F.col("rep").alias("b"), *renamed]
+
     def add(self, links: DataFrame) -> bool:
         """Takes links in and connects; says whether there were any."""
         links = stage(links, "links")
@@ -285,11 +304,10 @@ class _Search:
     def leader_round(self, number: int) -> bool:
         lists = self.labelled()
         rank = F.xxhash64(F.lit(number), "key", "rep") if number else F.xxhash64(F.lit(number), "rep")
-        leaders = lists.groupBy("key").agg(
-            F.min(F.struct(rank.alias("rank"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))).alias("_l"),
-        ).select("key", "_l.b", "_l.n_b", "_l.label_b")
-        met = lookup_join(lists, leaders, ["key"], "inner").filter("label <> label_b")
-        return self.add(self.near(met.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), "b", "n_b")))
+        first = F.min(F.struct(rank.alias("rank"), *self.partner())).alias("_l")
+        leaders = lists.groupBy("key").agg(first).select("key", "_l.*").drop("rank")
+        met = lookup_join(lists, leaders, ["key"], "inner").filter((F.col("label") != F.col("label_b")) & self.close())
+        return self.add(self.near(met.select(F.col("rep").alias("a"), "b")))
 
     def all_others(self) -> None:
         """Every pair of a list that is not connected yet."""
@@ -298,14 +316,11 @@ class _Search:
         largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_m"), F.count(F.lit(1)).alias("labels"))
         mixed = largest.filter("labels > 1").select("key", F.col("_m.label").alias("main"))
         open_ = stage(lookup_join(lists, mixed, ["key"], "inner"), "open-postings")
-        few = open_.filter("label <> main").select(
-            "key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b")
-        )
+        few = open_.filter("label <> main").select(F.col("key").alias("_key"), *self.partner())
         # members outside the main component meet all of it, and each other once
         cond = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("rep") < F.col("b")))
-        able = (100 * F.least("n_shingles", "n_b")) >= self.percent * F.greatest("n_shingles", "n_b")
-        met = open_.join(few, "key").filter(cond & able)
-        self.add(self.near(met.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), "b", "n_b")))
+        met = open_.join(few, (F.col("key") == F.col("_key")) & cond & self.close())
+        self.add(self.near(met.select(F.col("rep").alias("a"), "b")))
 
 
 def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
