@@ -36,11 +36,12 @@ def read_dictionary_csv(
     spark: SparkSession,
     path: str,
     schema: str = "id bigint, word string, text string, quality int",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A cleaned dictionary with a header, as it is.
 
-    With ``multi_line`` texts may hold line breaks, and each file is read by one task.
+    Texts may hold line breaks, and each file is read by one task. Where no text holds
+    one, ``multi_line=False`` has files split among tasks; it tears texts that do.
     """
     return _csv(spark, path, schema, multi_line)
 
@@ -85,13 +86,13 @@ def clean_reviewed(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_dictionary_reviewed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_dictionary_reviewed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Reviewed entries with word, meaning and example."""
     schema = "id bigint, word string, meaning string, example string"
     return clean_reviewed(_csv(spark, path, schema, multi_line))
 
 
-def read_dictionary_pos(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_dictionary_pos(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Entries with a part of speech; ``id`` is the record number, there is no quality."""
     rows = numbered(_csv(spark, path, "word string, pos string, text string", multi_line), "id")
     return rows.select(

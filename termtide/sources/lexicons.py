@@ -86,14 +86,15 @@ def read_lexicon_wide(
     path: str,
     use_labels: Iterable[str] | None = None,
     not_categories: Iterable[str] = WIDE_NOT_CATEGORIES,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Tool output with one row per word (``Text``) and one numeric column per category.
 
     Rows without lexicon words (``Dic`` not above 0) and words without a
     category are left out. A value that is no number fails the job. Labels are
-    in column order; picking them needs no reshuffling of the wide rows. With
-    ``multi_line`` values may hold line breaks, and each file is read by one task.
+    in column order; picking them needs no reshuffling of the wide rows. Values
+    may hold line breaks, and each file is read by one task; ``multi_line=False`` has
+    files split among tasks, for values that hold none.
     """
     rows = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False

@@ -18,6 +18,7 @@ from termtide.sources.lexicons import (
     read_lexicon_wide,
 )
 from termtide.sources.lists import read_term_list, stop_words
+from termtide.sources.tables import write_dictionary
 
 
 def as_dict(lists):
@@ -236,6 +237,21 @@ def test_dictionary_csv(spark, write):
     assert "quality" not in plain.columns
 
 
+def test_line_breaks_are_read_by_default(spark, write, tmp_path):
+    rows = [(1, "a", 'first\nsecond, "third"', 5), (2, "b", "plain", None)]
+    entries = spark.createDataFrame(rows, "id bigint, word string, text string, quality int")
+    write_dictionary(entries, str(tmp_path / "dictionary"))
+    again = read_dictionary_csv(spark, str(tmp_path / "dictionary")).orderBy("id").collect()
+    assert [tuple(r) for r in again] == rows
+    path = write("reviewed.csv", ',word,meaning,example\n4,oar,"a\nlever",\n5,hull,low,\n')
+    assert [(r["id"], r["text"]) for r in read_dictionary_reviewed(spark, path).orderBy("id").collect()] == [(4, "a\nlever"), (5, "low")]
+    path = write("pos.csv", 'word,pos,text\nTern,n.,"Bird\nof the coast"\nFurl,v.,Roll up\n')
+    read = read_dictionary_pos(spark, path).orderBy("id").collect()
+    assert [(r["id"], r["word"], r["text"]) for r in read] == [(0, "tern", "Bird\nof the coast"), (1, "furl", "Roll up")]
+    path = write("wide.csv", wide_file([('"two\nlines"', 90, 40, 0, 0), ("pier", 30, 0, 0, 2)]))
+    assert as_dict(read_lexicon_wide(spark, path)) == {"two\nlines": ["Fruit"], "pier": ["Place"]}
+
+
 def test_term_list(spark, write):
     terms = read_term_list(spark, write("names.lst", "Anna\n  BOB \n\n\t\nanna\nÉmile\n"))
     assert sorted(r["term"] for r in terms.collect()) == ["anna", "bob", "émile"]
