@@ -159,9 +159,14 @@ def _key64(k1: pd.Series, k2: pd.Series) -> np.ndarray:
 
 
 def _updated(segments: list[bytes], new: np.ndarray, old: np.ndarray) -> list[bytes]:
-    """A shard's filters after taking keys in and out. A full shard gets a further filter."""
+    """A shard's filters after taking keys in and out. A full shard gets a further filter.
+
+    A key goes from the largest filter that has its mark. If that mark is another
+    key's, the two share mark and buckets there, and so in every smaller filter, as
+    buckets are the low bits of the same number: the mark left there serves the other key.
+    """
     filters = [CuckooFilter.read(s) for s in segments]
-    for f in filters:
+    for f in sorted(filters, key=lambda f: -len(f.table)):
         if len(old):
             old = f.delete(old)
     for f in reversed(filters):

@@ -92,6 +92,51 @@ def test_cuckoo_filter_takes_keys_in_and_out():
     assert np.logical_or.reduce([f.known(keys[:2500]) for f in filters]).mean() < 0.01
 
 
+def same_mark_lines():
+    """Two lines with one mark and the same buckets in a filter of 512 buckets, but not in one of 2048."""
+    small, large = (line_dedup.CuckooFilter(np.zeros((n, 4), np.uint16)) for n in (512, 2048))
+    lines = [f"some line of text {i}" for i in range(60_000)]
+    halves = np.frombuffer(b"".join(line_dedup.line_keys("\n".join(lines).encode())), "<i8").reshape(-1, 2)
+    keys = halves[:, 0] ^ (halves[:, 1] >> 1)
+
+    def names(f):
+        mark, first, second = f.places(keys)
+        return np.stack([mark.astype(np.int64), np.minimum(first, second), np.maximum(first, second)], axis=1).tolist()
+
+    seen = {}
+    for i, (name, wide) in enumerate(zip(names(small), names(large), strict=True)):
+        j, other = seen.setdefault(tuple(name), (i, wide))
+        if other != wide:
+            return lines[j], lines[i]
+    raise AssertionError("no such lines")
+
+
+def test_deletion_leaves_the_marks_of_other_keys(spark, tmp_path):
+    one, two = same_mark_lines()
+    texts = {0: "\n".join([one, *[f"old line number {i}" for i in range(1000)]])}
+    texts |= {1: two, 2: "\n".join(f"new line number {i}" for i in range(5000)), 3: f"{one}\n{two}\nonly here, this line"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    index = line_dedup.LineIndex(spark, str(tmp_path / "index"), shards=1)
+    index.insert(docs.filter("doc_id = 0"))
+    # a larger batch, which gets a larger filter
+    index._write(line_dedup.line_pairs(docs.filter("doc_id in (1, 2)")), "refs", 2)
+    batch = index._read("refs", 2).groupBy("k1", "k2").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"))
+    index._write(index.counts().unionByName(batch), "counts", 2)
+    older = index.filters().collect()
+    added = batch.toPandas()
+    large = line_dedup.CuckooFilter.sized(5001)
+    assert not len(large.insert(line_dedup._key64(added.k1, added.k2)))
+    filters = [(0, r.segment, r.data) for r in older] + [(0, len(older), bytearray(large.table.tobytes()))]
+    index._write(spark.createDataFrame(filters, line_dedup._FILTERS), "filters", 2)
+    index.changes = 2
+    index.delete(spark.createDataFrame([(1,)], "doc_id bigint"))
+    del texts[1]
+    assert all(r.maybe for r in index.known(index.counts().select("k1", "k2")).collect())
+    index.insert(docs.filter("doc_id = 3"))
+    assert index.counts().groupBy("k1", "k2").count().filter("count > 1").count() == 0
+    assert rows_of(index.rewrite(docs.filter("doc_id <> 1")), "text", "n_lines", "n_dropped") == line_truth(texts)
+
+
 def test_suffix_array_against_sorting():
     draw = random.Random(3)
     for _ in range(300):
