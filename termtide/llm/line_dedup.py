@@ -31,6 +31,10 @@ KEYS_PER_SHARD = 1 << 17
 _STRIP = SPACES.encode()
 _SLOTS = 4
 _KICKS = 500
+# Share of its slots up to which a filter takes keys in; above it kicks get long.
+_FULL = 0.9
+# Batches by which the documents of a new index go in.
+BATCHES = 2
 
 
 def line_keys(text: bytes) -> list[bytes | None]:
@@ -170,8 +174,9 @@ def _updated(segments: list[bytes], new: np.ndarray, old: np.ndarray) -> list[by
         if len(old):
             old = f.delete(old)
     for f in reversed(filters):
-        if len(new):
-            new = f.insert(new)
+        room = max(0, int(_FULL * f.table.size) - np.count_nonzero(f.table))
+        if len(new) and room:
+            new = np.concatenate([f.insert(new[:room]), new[room:]])
     while len(new):
         filters.append(CuckooFilter.sized(max(1024, len(new))))
         new = filters[-1].insert(new)
@@ -362,8 +367,13 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, text, n_lines, n_dropped`` after inserting all documents into a new index."""
+    """``doc_id, text, n_lines, n_dropped`` after inserting all documents into a new index.
+
+    They go in by ``BATCHES`` batches; all but the first come through the filters.
+    """
     spark = docs.sparkSession
     index = LineIndex.for_documents(spark, path or scratch_path(spark, "lines"), 16 * docs.count())
-    index.insert(docs)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
+    for number in range(BATCHES):
+        index.insert(docs.filter(batch == number))
     return index.rewrite(docs)

@@ -92,6 +92,15 @@ def test_cuckoo_filter_takes_keys_in_and_out():
     assert np.logical_or.reduce([f.known(keys[:2500]) for f in filters]).mean() < 0.01
 
 
+def test_documents_come_through_the_filters(spark, monkeypatch):
+    asked = []
+    known = line_dedup.LineIndex.known
+    monkeypatch.setattr(line_dedup.LineIndex, "known", lambda self, keys: asked.append(self.changes) or known(self, keys))
+    got = rows_of(line_dedup.dedup_lines(make(spark, TEXTS)), "text", "n_lines", "n_dropped")
+    assert got == line_truth(dict(enumerate(TEXTS))) and asked == [1]
+    assert line_dedup.dedup_lines(make(spark, [])).count() == 0
+
+
 def same_mark_lines():
     """Two lines with one mark and the same buckets in a filter of 512 buckets, but not in one of 2048."""
     small, large = (line_dedup.CuckooFilter(np.zeros((n, 4), np.uint16)) for n in (512, 2048))
