@@ -71,12 +71,18 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each ``width`` neighbours."""
+    """The place of the smallest of each ``width`` neighbours, of equal ones the rightmost."""
+    place = np.arange(len(x))
+
+    def merged(gap: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = x[: len(x) - gap], x[gap:]
+        return np.minimum(left, right), np.where(right <= left, place[gap:], place[: len(place) - gap])
+
     step = 1
     while step * 2 <= width:
-        x = np.minimum(x[:-step], x[step:])
+        x, place = merged(step)
         step *= 2
-    return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if step < width else x
+    return merged(width - step)[1] if step < width else place
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -86,11 +92,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none
     hashes = _gram_hashes(data)
-    place = np.arange(len(hashes), dtype=np.uint64)
-    mask = np.uint64(0xFFFFF)
-    # the smallest hash, of equal ones the rightmost
-    marked = (hashes & ~mask) | (mask - (place & mask))
-    least = _least(marked, LENGTH - GRAM + 1)
+    least = _least(hashes, LENGTH - GRAM + 1)
     starts = np.arange(len(least))
     text = np.searchsorted(offsets, starts, side="right") - 1
     valid = starts + LENGTH <= offsets[text + 1]
@@ -100,8 +102,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.r_[first[1:], len(least)] - 1
     keep = valid[first]
     first, last = first[keep], last[keep]
-    low = (mask - (least[first] & mask)).astype(np.int64)
-    piece = first + ((low - first) & int(mask))
+    piece = least[first]
     return hashes[piece], first, last + LENGTH, piece, text[first]
 
 

@@ -176,6 +176,17 @@ def test_repeated_strings(spark, group_chunks):
     assert suffix_dedup.drop_repeats(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("before", [1000, (1 << 20) - 60, (1 << 20) - 40])
+def test_runs_of_one_character_have_the_same_piece_at_any_place(before):
+    data = np.random.default_rng(4).integers(97, 123, before + 400).astype(np.uint8)
+    for length in (100, 130, 168):
+        data[before : before + length] = ord("-")
+        key, first, end, piece, _ = suffix_dedup.chunks(data, np.array([0, len(data)]))
+        for start in range(before, before + length - 99):
+            own = np.flatnonzero((first <= start) & (end >= start + 100) & (piece >= start) & (piece <= start + 68))
+            assert piece[own].tolist() == [start + 68]
+
+
 def test_near_groups(spark):
     draw = random.Random(7)
     base = [draw.choice("one two three four five six seven".split()) + str(draw.randint(0, 200)) for _ in range(120)]
