@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: compatibility forms, look-alike letters of other alphabets and
-digits that stand for letters become plain lower-case letters, words with accents
-are matched with and without them, and what stands between words is one blank. One Aho-Corasick automaton then finds all
+Texts are folded: compatibility forms, look-alike letters of other alphabets and,
+in words that hold a letter, digits and signs that stand for letters become plain
+lower-case letters; words with accents, digits or signs are matched with and without
+folding them, and what stands between words is one blank. One Aho-Corasick automaton then finds all
 terms of the lexicon (whole words and beginnings of words, with weights) and the
 exception phrases that take a term's weight back. The sum, over the logarithm of
 the number of words, goes through a logistic curve.
@@ -53,18 +54,38 @@ _HOMOGLYPHS = str.maketrans(
 )
 # Digits and signs written for letters.
 _DIGITS = str.maketrans("013457@$", "oieastas")
-_DIGIT_RUN = re.compile(r"[013457@$]+(?=[a-z])")
+# From the first of them in a word to the word's end.
+_DIGIT_REST = re.compile(r"[013457@$](?:[^\W_]|[@$])*")
+_LETTER = re.compile(r"[^\W\d_]")
 _MARKS = re.compile("[\u0300-\u036f]+")
 _BETWEEN = re.compile(r"[\W_]+")
 
 
+def _letters_for_digits(text: str) -> tuple[str, list[str]]:
+    """The text with digits and signs as letters in words that hold a letter, and these words as they were."""
+    parts: list[str] = []
+    disguised: list[str] = []
+    done = 0
+    for found in _DIGIT_REST.finditer(text):
+        start = found.start()
+        while start > done and text[start - 1].isalnum():
+            start -= 1
+        word = text[start : found.end()]
+        if _LETTER.search(word):
+            parts += [text[done:start], word.translate(_DIGITS)]
+            disguised.append(word)
+            done = found.end()
+    return "".join(parts) + text[done:], disguised
+
+
 def fold(text: str) -> str:
-    """Folded words with one blank before, between and after them; words with accents stand once
-    more, without them, at the end, so that a term can be told by its accents or in spite of them."""
+    """Folded words with one blank before, between and after them; words with digits or signs for letters stand
+    once more, as they were, at the end, and words with accents without them, so that a term can be told by its
+    digits or accents or in spite of them."""
     plain = text.isascii()
     text = text.lower() if plain else unicodedata.normalize("NFKC", text).lower().translate(_HOMOGLYPHS)
-    text = _DIGIT_RUN.sub(lambda m: m.group().translate(_DIGITS), text)
-    words = _BETWEEN.sub(" ", text).strip()
+    text, disguised = _letters_for_digits(text)
+    words = _BETWEEN.sub(" ", " ".join([text, *disguised])).strip()
     if plain:
         return f" {words} "
     bare = [_bare(w) for w in words.split(" ") if not w.isascii()]

@@ -401,3 +401,18 @@ def test_exception_phrases_take_back():
     assert toxicity.density(toxicity.fold("the trash can"), automaton) == 0
     assert toxicity.density(toxicity.fold("the tr4sh!"), automaton) > 0
     assert Counter(toxicity.fold("Ünïted it's 4 you").split())["united"] == 1
+
+
+def test_digits_and_signs_anywhere_in_a_word():
+    terms = {"0": "bozo", "1": "nazi", "3": "garbage", "4": "drama", "5": "losers", "7": "idiot", "@": "mafia", "$": "ass"}
+    for sign, term in terms.items():
+        automaton = toxicity.Lexicon({f" {term} ": 3.0}).automaton()
+        letter = sign.translate(toxicity._DIGITS)
+        written = term.rstrip(letter) + sign * (len(term) - len(term.rstrip(letter)))
+        assert written.endswith(sign), written
+        assert toxicity.density(toxicity.fold(f"you {written}, go"), automaton) > 0, written
+        assert toxicity.density(toxicity.fold(f"you {term.replace(letter, sign)}"), automaton) > 0, term
+    for text in ("the 20th day", "a 100m race", "us$100", "price 5$", "foo@bar", "é1 3"):
+        words = toxicity.fold(text).split()
+        assert set(toxicity._BETWEEN.sub(" ", text).split()) <= set(words), words
+    assert toxicity.fold("in 1990, 5") == " in 1990 5 "
