@@ -33,8 +33,6 @@ from termtide.session import stage
 
 # The bounded sample of labelled rows that a lexicon is learned from, in hash order.
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 5_000
-MAX_EXCEPTIONS = 5_000
 STEM_LENGTHS = (4, 8)
 MIN_DOCS = 5
 MIN_TOXIC_SHARE = 0.5
@@ -161,14 +159,30 @@ def _candidates(sample: DataFrame) -> DataFrame:
     return spread.groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
+def _needed(tested: int) -> float:
+    """The gain that a term has to have."""
+    return 2 * math.log(max(tested, 1)) + MARGIN
+
+
+def _strong(all_t: int, all_n: int, tested: int):
+    """Of candidates ``term, t, n``, those with the gain needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            yield batch.filter(pa.array([_gain(t, n, all_t, all_n) >= _needed(tested) for t, n in pairs], pa.bool_()))
+
+    return run
+
+
 def _chosen(rows: list, all_t: int, all_n: int, tested: int) -> dict[str, float]:
     """Weights of the terms that pass; of terms that begin with one another only the strongest, the longest of equal ones."""
-    needed = 2 * math.log(max(tested, 1)) + MARGIN
+    needed = _needed(tested)
     gains = [(_gain(r.t, r.n, all_t, all_n), r.term, r.t, r.n) for r in rows]
     terms: dict[str, float] = {}
     stems: set[str] = set()
     for gain, term, t, n in sorted(gains, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
-        if gain < needed or len(terms) >= MAX_TERMS:
+        if gain < needed:
             break
         starts = {term[:i] for i in range(1, len(term) + 1)}
         if starts & terms.keys() or term in stems:
@@ -239,9 +253,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon()
     counted = stage(_candidates(sample), "toxic-candidates")
     able = counted.filter((F.col("t") >= MIN_DOCS) & (F.col("t") / (F.col("t") + F.col("n")) >= MIN_TOXIC_SHARE))
-    # the strongest, at most: each toxic text of the bounded sample adds a bounded number of candidates
-    rows = able.orderBy(F.desc("t"), "n", "term").limit(20 * MAX_TERMS).collect()
-    terms = _chosen(rows, all_t, all_n, counted.count())
+    # the threshold and the bounded sample bound what is collected
+    tested = counted.count()
+    rows = able.mapInArrow(_strong(all_t, all_n, tested), able.schema).collect()
+    terms = _chosen(rows, all_t, all_n, tested)
     if not terms:
         return Lexicon()
     phrases = sample.mapInArrow(_phrases(terms), "phrase string, weight double, toxic int")
@@ -249,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         F.sum(F.expr("int(toxic = 1)")).alias("t"), F.sum(F.expr("int(toxic <> 1)")).alias("n")
     )
     mild = mild.filter((F.col("n") >= EXCEPTION_DOCS) & (F.col("t") <= EXCEPTION_SHARE * (F.col("t") + F.col("n"))))
-    exceptions = {r.phrase: -r.weight for r in mild.orderBy(F.desc("n"), "phrase").limit(MAX_EXCEPTIONS).collect()}
+    exceptions = {r.phrase: -r.weight for r in mild.orderBy(F.desc("n"), "phrase", "weight").collect()}
     lexicon = Lexicon(terms, exceptions)
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

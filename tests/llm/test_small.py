@@ -4,7 +4,7 @@ empty tables, further columns with the names that operators use themselves."""
 import hashlib
 import random
 import zlib
-from collections import Counter
+from collections import Counter, namedtuple
 
 import numpy as np
 import pytest
@@ -416,3 +416,12 @@ def test_digits_and_signs_anywhere_in_a_word():
         words = toxicity.fold(text).split()
         assert set(toxicity._BETWEEN.sub(" ", text).split()) <= set(words), words
     assert toxicity.fold("in 1990, 5") == " in 1990 5 "
+
+
+def test_all_terms_and_exception_phrases_are_learned(spark):
+    Row = namedtuple("Row", "term t n")
+    assert len(toxicity._chosen([Row(f"{i:05d} ", 50, 0) for i in range(6000)], 1000, 1000, 6000)) == 6000
+    phrases = " ".join(f"blarg word{i}" for i in range(2700))
+    texts = [phrases] * 3 + ["tree house"] * 200 + ["blarg"] * 40
+    labels = spark.createDataFrame([(i, int(i >= 203)) for i in range(243)], "doc_id bigint, toxic int")
+    assert len(toxicity.learn(make(spark, texts), labels).exceptions) > 5000
