@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,8 @@ from termtide.operators.joins import lookup_join
 from termtide.session import stage
 
 COORDINATES = 64
-# Standard deviations below the expected number of collisions at the threshold: at exactly
-# the threshold less than one pair in a million collides less often.
-SAFETY = 4.75
+# At exactly the threshold, at most this share of the pairs collides less often.
+MISSED = 1e-6
 LEADER_ROUNDS = 4
 _CELLS = 1 << 22
 _BLOCK = 1 << 15
@@ -46,8 +46,13 @@ _WORDS_KEPT = 500_000
 
 def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
     """Collisions that a pair of this similarity has but with negligible probability."""
-    sigma = (coordinates * similarity * (1 - similarity)) ** 0.5
-    return max(1, int(coordinates * similarity - SAFETY * sigma))
+    below, k = 0.0, 0
+    while k < coordinates:  # the exact binomial tail
+        below += comb(coordinates, k) * similarity**k * (1 - similarity) ** (coordinates - k)
+        if below > MISSED:
+            break
+        k += 1
+    return max(1, k)
 
 
 @lru_cache(maxsize=1)

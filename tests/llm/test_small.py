@@ -2,9 +2,11 @@
 empty tables, further columns with the names that operators use themselves."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, namedtuple
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -215,6 +217,13 @@ def test_near_groups(spark):
     assert minhash.near_groups(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_pairs_at_the_threshold_are_missed_once_in_a_million(percent):
+    k, p = minhash.match_threshold(percent / 100), Fraction(percent, 100)
+    missed = [sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(n)) for n in (k, k + 1)]
+    assert missed[0] <= Fraction(1, 10**6) < missed[1] or percent == 100 and k == 64
+
+
 def test_token_files(spark, tmp_path):
     texts = [*TEXTS[:9], "it's  a\xa0b <|x|>", "a.\nb, c. D.. e", LONG]
     encoder = tokens.encoder("byte_bpe_50k.json")
