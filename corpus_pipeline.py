@@ -18,6 +18,19 @@ TOXIC = 0.5  # documents that score as high as this are rejected
 VOCABULARY = "word_bpe_49k.json"
 
 
+def with_own_id(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that numbers rows in the order of ``doc_id``, each row by its own number.
+
+    That is ``doc_id`` itself where each row has one of its own; else the rows are sorted and numbered.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if not shared.head(1):
+        return docs, "doc_id"
+    name = free_name(docs, "row_number")
+    ordered = docs.orderBy(F.asc_nulls_first("doc_id"), "text")
+    return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold, by a lexicon learned from the labelled ones."""
     shipped(spark)
@@ -36,7 +49,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similar five-word shingles connect."""
     shipped(spark)
-    return minhash.drop_near_copies(docs, size=5, percent=80)
+    rows, own = with_own_id(docs)
+    return minhash.drop_near_copies(rows, size=5, percent=80, id_col=own).select(*docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +60,10 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     document of which nothing is left stays, with an empty text.
     """
     shipped(spark)
-    cut = suffix_dedup.drop_repeats(docs.select("doc_id", "text")).filter("n_removed > 0")
-    left = cut.select("doc_id", F.col("kept_text").alias("_kept"))
-    joined = docs.join(left, "doc_id", "left")
+    rows, own = with_own_id(docs)
+    cut = suffix_dedup.drop_repeats(rows.select(own, "text"), id_col=own).filter("n_removed > 0")
+    left = cut.select(F.col("doc_id").alias(own), F.col("kept_text").alias("_kept"))
+    joined = rows.join(left, own, "left")
     text = F.coalesce("_kept", "text")
     columns = {"text": text}
     if "n_chars" in docs.columns:

@@ -178,8 +178,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with the columns of ``docs``; rules as in ``exact_groups``.
 
+    Of several rows that share the id and the text that win, one stays: the longest.
     Texts that do not repeat are not shuffled. Of the others, only the row whose
-    id won is fetched, by the id and the text's digest.
+    id won is fetched, by the id and the text's digest and length.
     """
     names = [free_name(docs, n) for n in ("maybe_repeats", "text_digest", "text_length")]
     maybe, digest, length = names
@@ -189,4 +190,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     winners = groups.select(F.col("keep_id").alias("_keep"), F.col(digest).alias("_digest"))
     match = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col(digest) == F.col("_digest"))
     kept = repeated.join(winners, match, "left_semi")
-    return marked.filter(~F.col(maybe)).unionByName(kept).drop(*names)
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(length), F.xxhash64(text)))
+    one = kept.groupBy(digest).agg(best.alias("_row")).select("_row.*")
+    return marked.filter(~F.col(maybe)).drop(*names).unionByName(one)

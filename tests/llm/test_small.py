@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from termtide.llm import ann, chat, exact_dedup, line_dedup, minhash, packing, suffix_dedup, suffix_sort
 from termtide.llm import token_files, tokens, toxicity, unigram
 
@@ -434,3 +435,17 @@ def test_all_terms_and_exception_phrases_are_learned(spark):
     texts = [phrases] * 3 + ["tree house"] * 200 + ["blarg"] * 40
     labels = spark.createDataFrame([(i, int(i >= 203)) for i in range(243)], "doc_id bigint, toxic int")
     assert len(toxicity.learn(make(spark, texts), labels).exceptions) > 5000
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    draw = random.Random(8)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(n))
+    passage = noise(150)
+    texts = [(1, "x" + passage + noise(50)), (2, passage), (2, noise(80) + "#" + passage), (2, noise(120)), (None, noise(130)), (None, passage + "!")]
+    docs = spark.createDataFrame([(i, t, len(t), "k") for i, t in texts], "doc_id bigint, text string, n_chars bigint, key string")
+    got = corpus_pipeline.drop_passages(spark, docs, "").collect()
+    left = [(None, texts[4][1]), (None, passage + "!"), (1, "x" + texts[0][1][151:]), (2, ""), (2, texts[2][1][:81]), (2, texts[3][1])]
+    assert sorted(((r.doc_id or 0, r.text) for r in got)) == sorted((i or 0, t) for i, t in left)
+    assert all(r.n_chars == len(r.text) and r.key == "k" for r in got)
+    same = spark.createDataFrame([(3, "same text", "k"), (3, "same text", "k"), (3, "same  text", "k"), (3, "other", "k"), (4, "sametext", "k")], "doc_id bigint, text string, key string")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_exact(spark, same, "").collect()) == [(3, "other", "k"), (3, "same  text", "k")]
