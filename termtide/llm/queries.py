@@ -245,3 +245,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termtide.llm.suffix_dedup import drop_repeats
 
     return drop_repeats(documents(spark, sf_dir)).drop("kept", "kept_text")
+
+
+@query
+def op11_pair_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.pair_merges import decode_documents, encode_documents
+
+    vocabulary = "byte_bpe_50k.json"
+    coded = decode_documents(encode_documents(documents(spark, sf_dir), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
