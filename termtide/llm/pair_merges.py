@@ -34,7 +34,7 @@ from termtide.llm.tokens import vocabulary_path
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY_BYTES = 128 << 20  # of remembered words; beyond it the memory starts anew
+MEMORY_BYTES = 96 << 20  # of remembered words; beyond it the memory starts anew
 _ENTRY_BYTES = 250  # of one remembered word beside its characters and ids
 _LONG = 1 << 20  # characters; words of longer texts are taken in slices
 _SLICE = 50_000
@@ -252,7 +252,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(name, shared.value)
-        for batch in by_size(batches, text):
+        for batch in by_size(batches, text, 4 << 20):
             ids = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -269,7 +269,7 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in by_size(batches, "ids"):
+        for batch in by_size(batches, "ids", 4 << 20):
             texts = [model.decode(np.frombuffer(ids or b"", "<u4")) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -259,3 +259,107 @@ def op11_pair_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    front = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.translate("text", _UPPER, _LOWER)
+    rows = docs.select(
+        "doc_id",
+        "lang",
+        merkle.leaf(*front, F.col("text")).alias("leaf"),
+        F.when(struck, merkle.leaf(*front, changed)).alias("tampered"),
+    )
+    proofs = merkle.manifest(rows, group="lang", order="doc_id").proofs()
+    again = merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.siblings(F.col("steps"))).alias("proof_sha256"),
+        again.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# The unsigned crc32 of a text of which ``bytes`` is the list of UTF-8 bytes; ``crc_steps.t`` holds the table.
+_CRC_STEPS = """crc_steps AS (
+    SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY k) AS t
+    FROM range(256) AS r(k)
+)"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes}),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+_BYTES = """list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"""
+
+
+def _crc_of(text: str) -> str:
+    return _CRC.format(bytes=_BYTES.format(text=text))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [
+        f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_STEPS}, d AS (
+    SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+           CASE WHEN {_crc_of("doc_id::VARCHAR")} % 3 = 0
+                THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS tampered
+    FROM documents, crc_steps
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY lang) AS n FROM d
+), nodes AS (
+    SELECT lang, 0 AS level, idx, leaf AS node, n FROM placed
+    UNION ALL
+    SELECT lang, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (max(n) + 7) // 8
+    FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 8
+), tops AS (
+    SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+    FROM nodes WHERE n = 1
+), upper_nodes AS (
+    SELECT 0 AS level, idx, subroot AS node, n FROM tops
+    UNION ALL
+    SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (max(n) + 7) // 8
+    FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 8
+), runs AS (
+    SELECT lang, level, idx,
+           coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY lang, level, idx // 8 ORDER BY idx)
+), upper_runs AS (
+    SELECT level, idx,
+           coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM upper_nodes WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 8 ORDER BY idx)
+), ways AS (
+    SELECT doc_id, lang, leaf, 0 AS level, idx, coalesce(tampered, leaf) AS fold, '' AS proof FROM placed
+    UNION ALL
+    SELECT doc_id, w.lang, leaf, w.level + 1, w.idx // 8, sha256(l || fold || r), proof || l || r
+    FROM ways w JOIN runs ON w.lang IS NOT DISTINCT FROM runs.lang AND w.level = runs.level AND w.idx = runs.idx
+), inner_ends AS (
+    SELECT * FROM ways QUALIFY level = max(level) OVER (PARTITION BY lang)
+), upper_ways AS (
+    SELECT doc_id, leaf, subroot, 0 AS level, t.idx, fold, proof
+    FROM inner_ends e JOIN tops t ON e.lang IS NOT DISTINCT FROM t.lang
+    UNION ALL
+    SELECT doc_id, leaf, subroot, w.level + 1, w.idx // 8, sha256(l || fold || r), proof || l || r
+    FROM upper_ways w JOIN upper_runs u ON w.level = u.level AND w.idx = u.idx
+), ends AS (
+    SELECT * FROM upper_ways QUALIFY level = max(level) OVER ()
+)
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified
+FROM ends, (SELECT node FROM upper_nodes WHERE n = 1)
+"""
