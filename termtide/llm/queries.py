@@ -363,3 +363,48 @@ WITH RECURSIVE {_CRC_STEPS}, d AS (
 SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified
 FROM ends, (SELECT node FROM upper_nodes WHERE n = 1)
 """
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termtide.llm.importance import resample
+
+    drawn = resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op13_importance"] = rf"""
+WITH {_CRC_STEPS}, texts AS (
+    SELECT 'd' AS side, doc_id, text FROM documents
+    UNION ALL SELECT 't', item_id, text FROM benchmark
+), words AS (
+    SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), spelled AS (
+    SELECT side, doc_id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+    FROM words
+), features AS (
+    SELECT side, doc_id, unnest(f) AS feature FROM spelled
+), sums AS (
+    SELECT feature, ({_crc_of("feature")} % 10000)::BIGINT AS bucket FROM (SELECT DISTINCT feature FROM features), crc_steps
+), placed AS (
+    SELECT side, doc_id, bucket FROM features JOIN sums USING (feature)
+), counts AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM placed GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                   / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighed AS (
+    SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296)))::BIGINT AS score
+    FROM spelled LEFT JOIN weighed USING (doc_id) WHERE side = 'd'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
