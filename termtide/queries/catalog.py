@@ -32,7 +32,7 @@ from termtide.functions.text import (
     url_decode,
     with_net_quality,
 )
-from termtide.operators import asking, classify, labelling, metrics, selection, splitting
+from termtide.operators import asking, classify, encoding, labelling, metrics, selection, softmax, splitting
 from termtide.operators.joins import lookup_join
 from termtide.operators.splitting import SplitSize
 from termtide.plans.asking import ask_labels
@@ -60,6 +60,8 @@ TERM = "THE"
 STOP_WORDS = ["and", "OF", "Der", "les", "con", "was"]
 TURN_LABELS = ["statement", "question", "request"]
 LEXICON_NAME = "speech act"
+TEXT_LENGTH = 24
+EPOCHS, RATE = 3, 4.0
 
 
 def query(fn: Query) -> Query:
@@ -750,10 +752,49 @@ def ml_label_index(spark, sf_dir):
 
 
 @query
-def ml_encode_text(spark, sf_dir):
+def ml_token_counts(spark, sf_dir):
     return classify.token_counts(standins.plain_entries(spark, sf_dir), ["dictionary", "id"])
 
 
+def _vocabulary(spark, sf_dir):
+    """The stand-in vocabulary, by way of a file with a piece a line."""
+    rows = standins.vocabulary(spark, sf_dir).select(F.col("piece").alias("value"), "id")
+    path = _write_lines(rows, ["id"], "vocabulary")
+    return encoding.Vocabulary.of(encoding.read_vocabulary(spark, path))
+
+
+@query
+def ml_encode_text(spark, sf_dir):
+    coded = encoding.encode_pieces(standins.plain_entries(spark, sf_dir), _vocabulary(spark, sf_dir), TEXT_LENGTH)
+    lists = [F.array_join(F.col(c), " ").alias(c) for c in ("input_ids", "attention_mask")]
+    return coded.select("dictionary", "id", *lists)
+
+
+def _softmax(spark, sf_dir):
+    train, test = _sets(spark, sf_dir)
+    pieces = _vocabulary(spark, sf_dir)
+    labels = [row["label"] for row in classify.label_index(train, test).orderBy("idx").collect()]
+    coded = stage(encoding.encode_pieces(train, pieces, TEXT_LENGTH).drop("text"), "encoded")
+    model = softmax.train_softmax(coded, labels, pieces.size, scratch_path(spark, "softmax"), softmax.Training(EPOCHS, RATE))
+    return model, pieces
+
+
+@query
+def ml_train_softmax(spark, sf_dir):
+    model, _ = _softmax(spark, sf_dir)
+    named = F.arrays_zip(label_array(model.labels).alias("label"), F.col("w").alias("w"))
+    long = model.table(spark).select("dictionary", "piece", F.explode(named).alias("z"))
+    return long.select("dictionary", _big("piece"), "z.label", F.round("z.w", 6).alias("w"))
+
+
+@query
+def ml_apply_softmax(spark, sf_dir):
+    model, pieces = _softmax(spark, sf_dir)
+    coded = encoding.encode_pieces(standins.plain_entries(spark, sf_dir), pieces, TEXT_LENGTH)
+    scored = softmax.apply_softmax(coded, model, ["word"])
+    return scored.select("dictionary", "id", "word", "label_out", F.round("prob_out", 4).alias("prob_out"))
+
+
 @query
 def ml_train(spark, sf_dir):
     return _weights(_model(*_sets(spark, sf_dir)))

@@ -336,6 +336,107 @@ rolled AS (
 rolled_lists AS (SELECT word, string_agg(label, '|' ORDER BY ord) AS labels FROM rolled GROUP BY word)
 """
 
+# Encoding: the stand-in vocabulary, and for each place of a word the longest piece that fits there.
+_MARKS = r"[\p{P}$+<=>^`|~]"
+_PIECES = rf"""
+word_counts AS (SELECT word, count(*) AS n FROM entries GROUP BY word),
+pieces AS (
+    SELECT piece, row_number() OVER (ORDER BY part, place, piece) - 1 AS id FROM (
+        SELECT 0 AS part, i AS place, p AS piece
+        FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[CLS]'), (3, '[SEP]')) AS v(i, p)
+        UNION ALL
+        SELECT 1, 0, piece FROM (
+            SELECT unnest([c, '##' || c]) AS piece FROM (SELECT unnest(string_split(word, '')) AS c FROM word_counts)
+            UNION
+            SELECT * FROM (SELECT word FROM word_counts WHERE regexp_full_match(word, '[a-z]{{2,}}') ORDER BY n DESC, word LIMIT 600)
+            UNION
+            SELECT piece FROM (
+                SELECT '##' || right(word, 3) AS piece, sum(n) AS n FROM word_counts
+                WHERE regexp_full_match(word, '[a-z]{{4,}}') GROUP BY 1 ORDER BY n DESC, piece LIMIT 600
+            )
+        )
+    )
+),
+text_words AS MATERIALIZED (
+    SELECT dictionary, id, w, unnest(range(1, len(w) + 1)) AS nth, unnest(w) AS word FROM (
+        SELECT dictionary, id, regexp_extract_all(strip_accents(lower(text)), '{_MARKS}|[^\s\p{{P}}$+<=>^`|~]+') AS w FROM entries
+    )
+),
+fitting AS MATERIALIZED (
+    SELECT word, pos, max(size) AS size, arg_max(p.id, size) AS id FROM (
+        SELECT word, pos, unnest(range(1, least(length(word) - pos + 1, 40) + 1)) AS size
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM (SELECT DISTINCT word FROM text_words))
+    ) JOIN pieces p ON p.piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, size)
+    GROUP BY word, pos
+),
+cuts(word, pos, ids) AS (
+    SELECT DISTINCT word, 1, CAST([] AS BIGINT[]) FROM text_words
+    UNION ALL
+    SELECT cuts.word, cuts.pos + f.size, list_append(ids, f.id)
+    FROM cuts JOIN fitting f ON f.word = cuts.word AND f.pos = cuts.pos
+),
+word_ids AS (
+    SELECT word, coalesce(max(ids) FILTER (pos > length(word) AND length(word) <= 100), [1]) AS ids FROM cuts GROUP BY word
+),
+encoded AS MATERIALIZED (
+    SELECT e.dictionary, e.id, list_concat([2], list_concat(coalesce(ids, [])[:22], [3])) AS ids
+    FROM entries e LEFT JOIN (
+        SELECT dictionary, id, flatten(list(ids ORDER BY nth)) AS ids FROM text_words JOIN word_ids USING (word) GROUP BY 1, 2
+    ) USING (dictionary, id)
+)
+"""
+
+EPOCHS, RATE = 3, 4.0
+
+
+def _softmax() -> str:
+    """Training as one table of weights after the other."""
+    steps = [
+        """
+shares AS MATERIALIZED (
+    SELECT dictionary, id, label AS truth, piece, count(*) / sum(count(*)) OVER (PARTITION BY dictionary, id) AS x
+    FROM (SELECT dictionary, id, t.label, unnest(ids) AS piece FROM train t JOIN encoded USING (dictionary, id)) GROUP BY dictionary, id, label, piece
+),
+trained AS (SELECT dictionary, count(DISTINCT id) AS n FROM shares GROUP BY 1),
+slopes0 AS (SELECT DISTINCT dictionary, piece, label FROM shares, label_index),
+after0 AS MATERIALIZED (SELECT dictionary, piece, label, 0::DOUBLE AS w FROM slopes0)"""
+    ]
+    for e in range(1, EPOCHS + 1):
+        steps.append(f"""
+logits{e} AS (
+    SELECT s.dictionary, s.id, truth, label, sum(x * w) AS z
+    FROM shares s JOIN after{e - 1} a ON a.dictionary = s.dictionary AND a.piece = s.piece GROUP BY s.dictionary, s.id, truth, label
+),
+errors{e} AS (
+    SELECT dictionary, id, label, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY dictionary, id)
+           - CASE WHEN label = truth THEN 1 ELSE 0 END AS d
+    FROM (SELECT *, max(z) OVER (PARTITION BY dictionary, id) AS m FROM logits{e})
+),
+after{e} AS MATERIALIZED (
+    SELECT a.dictionary, a.piece, a.label, any_value(a.w) - {RATE} * sum(x * d) / any_value(n) AS w
+    FROM after{e - 1} a JOIN shares s ON s.dictionary = a.dictionary AND s.piece = a.piece
+    JOIN errors{e} r ON r.dictionary = s.dictionary AND r.id = s.id AND r.label = a.label
+    JOIN trained z ON z.dictionary = a.dictionary GROUP BY a.dictionary, a.piece, a.label
+)""")
+    return ",".join(steps)
+
+
+_SOFTMAX_SCORED = f"""
+all_shares AS (
+    SELECT dictionary, id, piece, count(*) / sum(count(*)) OVER (PARTITION BY dictionary, id) AS x
+    FROM (SELECT dictionary, id, unnest(ids) AS piece FROM encoded) GROUP BY dictionary, id, piece
+),
+all_logits AS (
+    SELECT s.dictionary, s.id, l.label, sum(x * coalesce(w, 0)) AS z
+    FROM all_shares s CROSS JOIN label_index l
+    LEFT JOIN after{EPOCHS} a ON a.dictionary = s.dictionary AND a.piece = s.piece AND a.label = l.label GROUP BY s.dictionary, s.id, l.label
+),
+all_probs AS (
+    SELECT dictionary, id, label AS label_out, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY dictionary, id) AS prob_out
+    FROM (SELECT *, max(z) OVER (PARTITION BY dictionary, id) AS m FROM all_logits)
+)
+"""
+
 _LABELS_TEXT = "en, de"
 _ASKED = (
     """'which label should be assigned to the word "' || word || '" from the following """
@@ -564,7 +665,19 @@ ORACLE: dict[str, str] = {
         FROM dataset GROUP BY label""",
     # --- models
     "ml_label_index": f"{_I} SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM label_index",
-    "ml_encode_text": rf"""{_B}
+    "ml_encode_text": _with(_BASE, _PIECES)
+    + """
+        SELECT dictionary, id, array_to_string(list_concat(ids, list_transform(range(24 - len(ids)), lambda i: 0)), ' ') AS input_ids,
+               array_to_string(list_transform(range(24), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask
+        FROM encoded""",
+    "ml_train_softmax": _with(_BASE, _SETS, _LABEL_INDEX, _PIECES, _softmax())
+    + f" SELECT dictionary, CAST(piece AS BIGINT) AS piece, label, round(w, 6) AS w FROM after{EPOCHS}",
+    "ml_apply_softmax": _with(_BASE, _SETS, _LABEL_INDEX, _PIECES, _softmax(), _SOFTMAX_SCORED)
+    + """
+        SELECT p.dictionary, p.id, word, label_out, round(prob_out, 4) AS prob_out FROM all_probs p
+        JOIN entries e ON e.dictionary = p.dictionary AND e.id = p.id
+        QUALIFY row_number() OVER (PARTITION BY p.dictionary, p.id ORDER BY p.prob_out DESC, label_out) = 1""",
+    "ml_token_counts": rf"""{_B}
         SELECT dictionary, id, token, count(*) AS n FROM (
             SELECT dictionary, id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM entries
         ) GROUP BY 1, 2, 3""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +87,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hadoop_path))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application.
+
+    Classes and functions that tasks import have to be found there, whatever folder the driver runs in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="termtide-package-")) / "termtide_library.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, Path(package.name) / file.relative_to(package))
+    context.addPyFile(str(bundle))
+    _SHIPPED.add(context.applicationId)

@@ -2,7 +2,8 @@
 
 Tables are Parquet; an expanded lexicon is also CSV and answers are JSON lines,
 as these are read by other programs. Writing over something that exists is an
-error unless ``overwrite`` is set.
+error unless ``overwrite`` is set. Beside each output is its manifest (``observed``): parameters
+``conf``, path and counts.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtide.operators.splitting import dataset_all
-from termtide.session import local_table, path_exists
+from termtide.session import path_exists
+from termtide.sources.answer_log import AnswerLog
 from termtide.sources.lines import with_place
-
+from termtide.sources.observed import write_observed
 
 # Quotes doubled, empty texts told from nulls, blanks at the ends kept.
 _CSV = {
@@ -35,13 +37,13 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def write_dictionary(entries: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_dictionary(entries: DataFrame, path: str, overwrite: bool = False, conf: dict | None = None) -> None:
     """A cleaned dictionary as CSV with a header."""
     first = [c for c in ("id", "word", "text", "quality") if c in entries.columns]
     rest = [c for c in entries.columns if c not in first]
-    entries.select(*first, *rest).write.mode(_mode(overwrite)).csv(
-        path, header=True, **_CSV
-    )
+    rows = entries.select(*first, *rest)
+    counts = {"rows": F.count(F.lit(1)), "without_text": F.count_if(F.coalesce("text", F.lit("")) == "")} if "text" in rows.columns else None
+    write_observed(rows, path, conf, counts, kind="csv", overwrite=overwrite, options={"header": True, **_CSV})
 
 
 def write_dataset(
@@ -50,6 +52,7 @@ def write_dataset(
     test: DataFrame,
     valid: DataFrame | None = None,
     overwrite: bool = False,
+    conf: dict | None = None,
 ) -> None:
     """Train, test and optional validation rows, partitioned by ``split``."""
     parts = {"train": train, "valid": valid, "test": test}
@@ -57,7 +60,10 @@ def write_dataset(
         name: df.withColumn("split", F.lit(name)) for name, df in parts.items() if df is not None
     }
     rows = dataset_all(marked["train"], marked["test"], marked.get("valid"))
-    rows.write.mode(_mode(overwrite)).partitionBy("split").parquet(path)
+    counts = {name: F.count_if(F.col("split") == name) for name in marked}
+    if "label" in rows.columns:
+        counts["labels"] = F.collect_set("label")  # one row per label
+    write_observed(rows, path, conf, counts, overwrite=overwrite, partition_by=("split",))
 
 
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -68,9 +74,12 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> Da
     return rows.filter(F.col("split") == split).drop("split") if split else rows
 
 
-def write_scored(scored: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_scored(scored: DataFrame, path: str, overwrite: bool = False, conf: dict | None = None) -> None:
     """Scored dictionaries, partitioned by ``dictionary``."""
-    scored.write.mode(_mode(overwrite)).partitionBy("dictionary").parquet(path)
+    counts = {"rows": F.count(F.lit(1))}
+    if "label_out" in scored.columns:
+        counts |= {"scored": F.count("label_out"), "labels": F.collect_set("label_out")}  # one row per label
+    write_observed(scored, path, conf, counts, overwrite=overwrite, partition_by=("dictionary",))
 
 
 def read_scored(spark: SparkSession, path: str, dictionary: str | None = None) -> DataFrame:
@@ -78,11 +87,11 @@ def read_scored(spark: SparkSession, path: str, dictionary: str | None = None) -
     return scored.filter(F.col("dictionary") == dictionary) if dictionary else scored
 
 
-def write_expanded(expanded: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_expanded(expanded: DataFrame, path: str, overwrite: bool = False, conf: dict | None = None) -> None:
     """New terms as quoted ``term,label`` lines."""
-    expanded.select("term", "label").write.mode(_mode(overwrite)).csv(
-        path, **_CSV
-    )
+    rows = expanded.select("term", "label")
+    counts = {"terms": F.count(F.lit(1)), "labels": F.collect_set("label")}
+    write_observed(rows, path, conf, counts, kind="csv", overwrite=overwrite, options=_CSV)
 
 
 def read_expanded(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +99,14 @@ def read_expanded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="term string, label string", quote='"', escape='"')
 
 
-def append_answers(answers: DataFrame, path: str) -> None:
-    """New answers as JSON lines ``key, value``, after those on record."""
+def append_answers(answers: DataFrame, path: str) -> int:
+    """Commits new answers (``model, prompt_hash, answer``) to the log at ``path``; the number of the commit."""
     key = F.concat_ws(":", "model", "prompt_hash")
-    answers.select(key.alias("key"), F.col("answer").alias("value")).write.mode("append").json(path)
+    return AnswerLog(answers.sparkSession, path).append(answers.select(key.alias("key"), F.col("answer").alias("value")))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """``key, value`` on record; the last value of a key counts."""
+    """``key, value`` of JSON lines other programs wrote; the last value of a key counts, by file time and line."""
     lines = with_place(
         spark.read.json(path, schema="key string, value string").select(
             "key", "value", "_metadata"
@@ -108,11 +117,9 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def known_answers(spark: SparkSession, path: str) -> DataFrame:
-    """``model, prompt_hash, answer`` on record; nothing when no answer was ever written."""
-    if not path_exists(spark, path):
-        return local_table(spark, {"model": [], "prompt_hash": [], "answer": []})
-    parts = F.regexp_extract("key", "^(.*):([^:]*)$", 1), F.regexp_extract("key", "^(.*):([^:]*)$", 2)
-    return read_answers(spark, path).select(
+    """``model, prompt_hash, answer`` of the log at ``path``; nothing when no answer was ever written."""
+    parts = [F.regexp_extract("key", "^(.*):([^:]*)$", i) for i in (1, 2)]
+    return AnswerLog(spark, path).snapshot().select(
         parts[0].alias("model"), parts[1].alias("prompt_hash"), F.col("value").alias("answer")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termtide.operators.joins import lookup_join
+from termtide.session import local_table
 from termtide.sources.fixed import hierarchy_table
 
 # Lines per document an id has room for.
@@ -150,3 +151,30 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     return user.join(reply, ["conv_id", "turn"])
+
+
+FREQUENT_PIECES = 600
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``piece, id``: the special pieces, each character of entry words as a first and a later piece, the most
+    frequent entry words, and the most frequent endings of three letters."""
+    counted = entries(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    bare = F.col("word").rlike("^[a-z]+$")
+    letters = counted.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct()
+    singles = letters.select(F.explode(F.array(F.col("c"), F.concat(F.lit("##"), "c"))).alias("piece"))
+    words = counted.filter(bare & (F.length("word") > 1)).orderBy(F.desc("n"), "word").limit(FREQUENT_PIECES).select(F.col("word").alias("piece"))
+    endings = (
+        counted.filter(bare & (F.length("word") > 3))
+        .groupBy(F.concat(F.lit("##"), F.expr("right(word, 3)")).alias("piece"))
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "piece")
+        .limit(FREQUENT_PIECES)
+        .select("piece")
+    )
+    given = local_table(spark, {"piece": ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]})
+    special = given.withColumn("_part", F.lit(0))
+    rest = singles.union(words).union(endings).distinct().withColumn("_part", F.lit(1))
+    # a vocabulary has a bounded size, whatever the tables hold
+    order = Window.orderBy("_part", F.when(F.col("_part") == 0, F.array_position(F.lit(["[PAD]", "[UNK]", "[CLS]", "[SEP]"]), F.col("piece"))), "piece")
+    return special.union(rest).select("piece", (F.row_number().over(order) - 1).cast("int").alias("id"))
