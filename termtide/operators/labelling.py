@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from termtide.functions.labels import first_label, label_array, strip_wildcard
 from termtide.operators.joins import lookup_join
+from termtide.operators.prefixes import distinct_words, match_by_sweep
 from termtide.session import local_table
 
 _KEY = "_key"
@@ -114,31 +115,9 @@ def pattern_lists(patterns: DataFrame) -> DataFrame:
 def match_patterns(words: DataFrame, stems: DataFrame) -> DataFrame:
     """The pattern of each distinct word: the whole word first, then the longest prefix.
 
-    ``stems`` has ``stem, is_prefix, labels``. Each word is spelled out into its
-    prefixes, of the lengths patterns have, and these are joined by equality.
+    ``stems`` has ``stem, is_prefix, labels``. Words are sorted once and swept, see ``prefixes``.
     """
-    lengths = stems.agg(
-        F.struct(F.min(F.length("stem")).alias("low"), F.max(F.length("stem")).alias("high"))
-    ).scalar()
-    low, high = lengths["low"], lengths["high"]
-    size = F.length(_KEY)
-    last = F.least(size, high)
-    cuts = F.when(last >= low, F.sequence(low, last))
-    spelled = (
-        words.select(F.lower("word").alias(_KEY))
-        .filter(F.col(_KEY).isNotNull())
-        .distinct()
-        .select(_KEY, F.explode(cuts).alias("_n"))
-        .withColumn("stem", F.expr(f"left({_KEY}, _n)"))
-    )
-    whole = ~F.col("is_prefix")
-    return (
-        lookup_join(spelled, stems, ["stem"], "inner")
-        .filter(F.col("is_prefix") | (F.col("_n") == size))
-        .groupBy(_KEY)
-        .agg(F.max_by("labels", F.struct(whole, F.col("_n"))).alias("labels"))
-        .withColumnRenamed(_KEY, "word")
-    )
+    return match_by_sweep(distinct_words(words), stems)
 
 
 def label_prefix(entries: DataFrame, patterns: DataFrame) -> DataFrame:
