@@ -2,13 +2,22 @@
 
 Stages of a run: ``valid``, ``words``, ``terms``, ``dataset``, ``model``, ``test_scored``,
 ``scored``, ``expanded``, ``summary`` and, last, ``manifest``. A stage the run has
-finished is read, not made again, when the run is taken up after a failure.
+finished is read, not made again, when the run is taken up after a failure. Beside each stage lies its
+manifest with counts taken while it was written.
+
+A run knows its inputs by a mark that costs no reading where they are files (names, sizes, times and
+the plan over them), and by a fingerprint per dictionary: the number of rows and a sum of their hashes, which
+merges in any order. A finished run whose marks are the same reads nothing. With ``refresh`` a run whose
+dictionaries have changed begins a new generation: its stages are made for the changed dictionaries only, and
+each dictionary is read from the generation it was made in. The test vocabulary is one for all
+dictionaries; where a change moves it, data sets and models of all of them are made anew.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -16,7 +25,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtide.operators.classify import NaiveBayes, apply_naive_bayes, label_index, train_naive_bayes
+from termtide.functions.labels import label_array
+from termtide.operators.classifiers import Classifier, NaiveBayesClassifier
 from termtide.operators.labelling import new_terms
 from termtide.operators.metrics import run_summary
 from termtide.operators.selection import best_confidence, unlabelled_positive
@@ -24,7 +34,10 @@ from termtide.operators.splitting import SplitSize, split_dataset, test_terms, w
 from termtide.plans.dataset import EntryRules, valid_entries
 from termtide.plans.expansion import expand_lexicon
 from termtide.session import path_exists
-from termtide.sources.tables import read_manifest, write_manifest
+from termtide.sources.files import file_marks, read_text, write_text
+from termtide.sources.observed import add_results, manifest_of, write_observed
+
+_SHARED = "*"  # in place of a dictionary: stages that are one for all
 
 
 class ExperimentExistsError(FileExistsError):
@@ -42,13 +55,32 @@ class ExperimentConf:
     label_dictionaries: bool = True
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+        return _digest(asdict(self))
+
+
+def _digest(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True).encode()).hexdigest()
+
+
+def input_mark(table: DataFrame) -> str | None:
+    """What tells whether a table over files is the same, without reading it; None for other tables.
+
+    The files with their sizes and times, and the plan over them. Functions of one's own count by name.
+    """
+    analyzed = table._jdf.queryExecution().analyzed()
+    leaves = analyzed.collectLeaves()
+    kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    if kinds - {"LogicalRelation"}:
+        return None
+    plan = re.sub(r"#[0-9]+L?", "", analyzed.treeString())
+    return _digest([plan, file_marks(table.sparkSession, table.inputFiles())])
 
 
 class Experiment:
     """Runs an experiment and gives access to its stages.
 
-    ``entries`` has ``dictionary, id, word, text`` and maybe ``quality``.
+    ``entries`` has ``dictionary, id, word, text`` and maybe ``quality``. ``classifier`` is what
+    is trained and applied, naive Bayes unless another is given.
     """
 
     def __init__(
@@ -59,140 +91,213 @@ class Experiment:
         root: str,
         exclusions: Sequence[DataFrame] = (),
         overwrite: bool = False,
+        classifier: Classifier | None = None,
+        refresh: bool = False,
     ):
         self.conf = conf
         self.entries = entries
         self.lexicon = lexicon
         self.exclusions = list(exclusions)
         self.overwrite = overwrite
+        self.classifier = classifier or NaiveBayesClassifier()
+        self.refresh = refresh
         self.path = f"{root.rstrip('/')}/{conf.name}"
-        self._mark: dict | None = None
-        self._n_dictionaries: int | None = None
+        self._state: dict | None = None
 
     @property
     def _spark(self) -> SparkSession:
         return self.entries.sparkSession
 
+    # --- what the folder holds
+
     def _current(self) -> dict:
-        """``fingerprint, run`` of the last run begun in this folder, or nothing; read once."""
-        if self._mark is None:
-            started = f"{self.path}/started"
-            if not path_exists(self._spark, started + "/_SUCCESS"):
+        """The state of the last run begun in this folder, or nothing; read once."""
+        if self._state is None:
+            if not path_exists(self._spark, f"{self.path}/state.json"):
                 return {}
-            self._mark = read_manifest(self._spark, started)
-        return self._mark
-
-    def _fingerprint(self) -> str:
-        """Of the parameters and the inputs: rows and an order-free hash of each table."""
-        seen = []
-        for table in (self.entries, self.lexicon, *self.exclusions):
-            columns = sorted(table.columns)
-            total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("total")
-            found = [F.count(F.lit(1)).alias("n"), total]
-            if table is self.entries:
-                found.append(F.count_distinct("dictionary").alias("dictionaries"))
-            row = table.agg(*found).first()
-            if table is self.entries:
-                self._n_dictionaries = row["dictionaries"]
-            seen.append([columns, row["n"], row["total"]])
-        return hashlib.sha256(json.dumps([self.conf.fingerprint(), seen]).encode()).hexdigest()
-
-    def _at(self, stage: str) -> str:
-        return f"{self.path}/run-{self._current()['run']}/{stage}"
+            self._state = json.loads(read_text(self._spark, f"{self.path}/state.json"))
+        return self._state
+
+    def _keep(self, state: dict) -> None:
+        self._state = state
+        write_text(self._spark, f"{self.path}/state.json", json.dumps(state, sort_keys=True))
+
+    def _settings(self) -> str:
+        return _digest([self.conf.fingerprint(), self.classifier.describe()])
+
+    def _marks(self) -> list[str | None]:
+        return [input_mark(t) for t in (self.entries, self.lexicon, *self.exclusions)]
+
+    def _contents(self) -> tuple[dict[str, str], str]:
+        """A fingerprint of each dictionary, and one of the other inputs."""
+        def total(table: DataFrame):
+            return F.sum(F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)")).cast("string")
+
+        columns = sorted(self.entries.columns)
+        # one row per dictionary
+        rows = self.entries.groupBy("dictionary").agg(F.count(F.lit(1)).alias("n"), total(self.entries).alias("total")).collect()
+        own = {r["dictionary"]: _digest([columns, r["n"], r["total"]]) for r in rows}
+        others = []
+        for table in (self.lexicon, *self.exclusions):
+            row = table.agg(F.count(F.lit(1)).alias("n"), total(table).alias("total")).first()
+            others.append([sorted(table.columns), row["n"], row["total"]])
+        return own, _digest(others)
+
+    def _at(self, stage: str, generation: int | None = None) -> str:
+        base = f"{self.path}/run-{self._current()['run']}/{stage}"
+        return base if generation is None else f"{base}/generation={generation}"
 
     def _done(self, stage: str) -> bool:
-        return path_exists(self._spark, self._at(stage) + "/_SUCCESS")
+        return path_exists(self._spark, self._at(stage, self._current()["generation"]) + "/_SUCCESS")
 
     def finished(self) -> bool:
-        return bool(self._current()) and self._done("manifest")
+        return bool(self._current()) and self._current()["finished"]
+
+    # --- running
 
     def _begin(self) -> None:
-        """Go on with the last run, or begin a new one in a folder of its own.
+        """Go on with the last run, begin a new one in a folder of its own, or a new generation of it.
 
         Overwriting begins a new run, so stages of an earlier one, which may be
         for other parameters or inputs, are never taken for its own.
         """
         current = self._current()
-        fingerprint = self._fingerprint()
-        if current and not self.overwrite:
-            if current["fingerprint"] != fingerprint:
-                raise ExperimentExistsError(f"{self.path} holds an experiment with other parameters or inputs")
+        marks = self._marks()
+        own, others = self._contents()
+        if not current or self.overwrite:
+            made = {"run": uuid.uuid4().hex, "settings": self._settings(), "generation": 0, "finished": False, "made": {}, "labels": None, "decided": {}}
+            self._keep({**made, "marks": marks, "dictionaries": own, "others": others, "changed": sorted(own)})
             return
-        mark = {"fingerprint": fingerprint, "run": uuid.uuid4().hex}
-        table = self._spark.createDataFrame([tuple(mark.values())], "fingerprint string, run string")
-        write_manifest(table, f"{self.path}/started", overwrite=True)
-        self._mark = mark
-
-    def _stage(self, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-        path = self._at(name)
-        if not self._done(name):
-            writer = make().write.mode("overwrite")
-            (writer.partitionBy(by) if by else writer).parquet(path)
+        changed = sorted(d for d in own if current["dictionaries"].get(d) != own[d])
+        gone = sorted(d for d in current["dictionaries"] if d not in own)
+        if current["settings"] != self._settings() or current["others"] != others or ((changed or gone) and not self.refresh):
+            raise ExperimentExistsError(f"{self.path} holds an experiment with other parameters or inputs")
+        if not (changed or gone):
+            self._keep({**current, "marks": marks})
+            return
+        # what an unfinished generation has made may not fit together: all dictionaries are made anew
+        renewed = changed if current["finished"] else sorted(own)
+        state = {**current, "marks": marks, "dictionaries": own, "changed": renewed, "finished": False}
+        self._keep({**state, "generation": current["generation"] + 1, "decided": {}})
+
+    def _stage(self, name: str, make: Callable[[], DataFrame], dirty: Sequence[str], by: str | None = None) -> DataFrame:
+        """The stage, made in this generation for the ``dirty`` dictionaries (or for all as one)."""
+        state = self._current()
+        if dirty and not self._done(name):
+            rows = make()
+            counts = {"rows": F.count(F.lit(1))}
+            if "label" in rows.columns:
+                counts["labels"] = F.collect_set("label")  # one row per label
+            conf = {**asdict(self.conf), **self.classifier.describe(), "dictionaries": list(dirty)}
+            path = self._at(name, state["generation"])
+            write_observed(rows, path, conf, counts, overwrite=True, partition_by=(by,) if by else ())
+        made = {**state["made"].get(name, {}), **{d: state["generation"] for d in dirty}}
+        self._keep({**state, "made": {**state["made"], name: made}})
         return self._read(name)
 
     def _read(self, name: str) -> DataFrame:
-        rows = self._spark.read.parquet(self._at(name))
-        if "dictionary" in rows.columns:
-            rows = rows.withColumn("dictionary", F.col("dictionary").cast("string"))
+        """Each dictionary's rows from the generation they were made in."""
+        state = self._current()
+        made = state["made"].get(name)
+        if not made:
+            raise FileNotFoundError(f"{self.path} has no stage {name}")
+        if _SHARED in made:
+            return self._spark.read.parquet(self._at(name, made[_SHARED]))
+        used: dict[int, list[str]] = {}
+        for dictionary, generation in made.items():
+            if dictionary in state["dictionaries"]:
+                used.setdefault(generation, []).append(dictionary)
+        rows = None
+        for generation, names in sorted(used.items()):
+            part = self._spark.read.parquet(self._at(name, generation)).filter(F.array_contains(label_array(sorted(names)), F.col("dictionary")))
+            rows = part if rows is None else rows.unionByName(part)
         return rows
 
+    def _only(self, table: DataFrame, names: Sequence[str]) -> DataFrame:
+        return table.filter(F.array_contains(label_array(sorted(names)), F.col("dictionary")))
+
     def run(self) -> bool:
-        """Whether anything was run: a finished experiment is left alone unless overwritten."""
-        fresh = self.overwrite or not self.finished()
+        """Whether anything was run: a finished experiment is left alone unless overwritten, or
+        refreshed with other dictionaries."""
+        current = self._current()
+        if current and not self.overwrite and self.finished() and current["settings"] == self._settings():
+            marks = self._marks()
+            if None not in marks and marks == current["marks"]:
+                return False
         self._begin()
-        if not fresh:
+        if self.finished():
             return False
-        conf = self.conf
+        state, conf = self._current(), self.conf
+        everyone, changed = sorted(state["dictionaries"]), state["changed"]
+        lexicon, exclusions = self.lexicon, self.exclusions
         valid = self._stage(
-            "valid", lambda: valid_entries(self.entries, self.lexicon, self.exclusions, conf.rules)
-        )
-        words = self._stage("words", lambda: word_counts(valid))
-        terms = self._stage("terms", lambda: test_terms(words, conf.size, self._n_dictionaries, conf.seed))
-        self._stage("dataset", lambda: split_dataset(valid, terms, conf.seed), by="split")
-        model = self._model()
-        self._stage(
-            "test_scored",
-            lambda: apply_naive_bayes(self.split("test"), model, ["word", "label"]),
+            "valid", lambda: valid_entries(self._only(self.entries, changed), lexicon, exclusions, conf.rules), changed
         )
+        words = self._stage("words", lambda: word_counts(self._only(valid, changed)), changed)
+        before = state["made"].get("terms", {}).get(_SHARED)
+        terms = self._stage("terms", lambda: test_terms(words, conf.size, len(everyone), conf.seed), [_SHARED])
+        dirty = self._decided("dataset", lambda: changed if before is not None and self._same_terms(before, terms) else everyone)
+        self._stage("dataset", lambda: split_dataset(self._only(valid, dirty), terms, conf.seed), dirty, by="split")
+        # the label set: one of the few things the driver has to know
+        labels = sorted(r["label"] for r in self.dataset().select("label").distinct().collect())
+        moved = self._current()["labels"] not in (None, labels)
+        dirty = self._decided("model", lambda: everyone if moved else dirty)
+        model = self._model(dirty, labels)
+        test = self._only(self.split("test"), dirty)
+        self._stage("test_scored", lambda: self.classifier.apply(test, model, ["word", "label"]), dirty)
         if conf.label_dictionaries:
             carry = [c for c in ("word", "quality") if c in self.entries.columns]
-            scored = self._stage(
-                "scored", lambda: apply_naive_bayes(self.entries, model, carry), by="dictionary"
-            )
-            self._stage(
-                "expanded", lambda: expand_lexicon(scored, self.lexicon, conf.label_threshold)
-            )
-            self._stage("summary", self._summary)
-        self._write_manifest()
+            own = self._only(self.entries, dirty)
+            scored = self._stage("scored", lambda: self.classifier.apply(own, model, carry), dirty)
+            self._stage("expanded", lambda: expand_lexicon(self._only(scored, dirty), lexicon, conf.label_threshold), dirty)
+            self._stage("summary", lambda: self._summary(dirty), dirty)
+        self._write_manifest(dirty, labels)
         return True
 
-    def _model(self) -> NaiveBayes:
-        path = self._at("model")
-        if not self._done("model"):
-            train = self.split("train")
-            # the label set: the one thing the driver has to know
-            rows = label_index(train, self.split("test")).orderBy("idx").collect()
-            train_naive_bayes(train, [row["label"] for row in rows]).save(path, "overwrite")
-        return NaiveBayes.load(self._spark, path)
-
-    def _summary(self) -> DataFrame:
-        fresh = best_confidence(unlabelled_positive(new_terms(self.scored(), self.lexicon)))
-        return run_summary(
-            self.split("train"), self.test_scored(), fresh, self.conf.report_threshold
-        )
+    def _decided(self, name: str, decide: Callable[[], Sequence[str]]) -> list[str]:
+        """The dictionaries whose stages are made anew, decided once a generation and kept for a run that is taken up."""
+        state = self._current()
+        if name not in state["decided"]:
+            self._keep({**state, "decided": {**state["decided"], name: list(decide())}})
+        return self._current()["decided"][name]
 
-    def _write_manifest(self) -> None:
-        counts = self.dataset().agg(
-            F.count_if(F.col("split") == "train").alias("train_count"),
-            F.count_if(F.col("split") == "test").alias("test_count"),
-            F.array_sort(F.collect_set("label")).alias("labels"),
-        )
-        table = counts.select(
-            F.lit(self.conf.fingerprint()).alias("fingerprint"),
-            F.lit(json.dumps(asdict(self.conf), sort_keys=True)).alias("conf"),
-            *counts.columns,
-        )
-        write_manifest(table, self._at("manifest"), overwrite=True)
+    def _same_terms(self, generation: int, terms: DataFrame) -> bool:
+        if generation == self._current()["generation"]:
+            return False
+        old = self._spark.read.parquet(self._at("terms", generation))
+        return old.count() == terms.count() and not old.exceptAll(terms).head(1)
+
+    def _model(self, dirty: Sequence[str], labels: list[str]) -> str:
+        """The folder of the models of the dictionaries that are scored in this generation."""
+        path = self._at("model", self._current()["generation"])
+        if not path_exists(self._spark, f"{path}/_SUCCESS"):
+            self.classifier.fit(self._only(self.split("train"), dirty), labels, path)
+            write_text(self._spark, f"{path}/_SUCCESS", json.dumps({"labels": labels, "dictionaries": list(dirty)}))
+        self._keep({**self._current(), "labels": labels})
+        return path
+
+    def _summary(self, names: Sequence[str]) -> DataFrame:
+        fresh = best_confidence(unlabelled_positive(new_terms(self._only(self.scored(), names), self.lexicon)))
+        train, test = self._only(self.split("train"), names), self._only(self.test_scored(), names)
+        return run_summary(train, test, fresh, self.conf.report_threshold)
+
+    def _write_manifest(self, dirty: Sequence[str], labels: list[str]) -> None:
+        """The results, beside the stage they come from and in the manifest of the run."""
+        state = self._current()
+        results = {}
+        if self.conf.label_dictionaries:
+            results = {r["dictionary"]: r.asDict() for r in self.summary().collect()}  # one row per dictionary
+            add_results(self._spark, self._at("summary", state["generation"]), {d: results[d] for d in dirty if d in results})
+        stages = {n: {str(g): manifest_of(self._spark, self._at(n, g))["counts"] for g in sorted(set(m.values()))} for n, m in state["made"].items()}
+        facts = {"conf": asdict(self.conf), "classifier": self.classifier.describe(), "labels": labels, "stages": stages, "results": results}
+        write_text(self._spark, self._at("manifest.json"), json.dumps({**facts, "path": self.path, "generation": state["generation"]}, sort_keys=True))
+        self._keep({**state, "finished": True, "changed": []})
+
+    # --- what it made
+
+    def manifest(self) -> dict:
+        """Parameters, labels, counts of each stage and results of the run."""
+        return json.loads(read_text(self._spark, self._at("manifest.json")))
 
     def dataset(self) -> DataFrame:
         return self._read("dataset")

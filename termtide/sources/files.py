@@ -73,3 +73,13 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     finally:
         fs.delete(held, False)
     return True
+
+
+def file_marks(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """Name, size and time of files, sorted; their content is not read."""
+    marks = []
+    for path in sorted(paths):
+        place, fs = _place(spark, path)
+        status = fs.getFileStatus(place)
+        marks.append((path, status.getLen(), status.getModificationTime()))
+    return marks
