@@ -29,8 +29,9 @@ _LEADING_BLANK = re.compile(r"(?= \S)")
 # White space other than blanks and line feeds; marks of our own.
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MARKS = re.compile(r"[\x01\x02\x04]")
-# A stop or comma that is not right behind a letter or digit.
-_RUN = re.compile(r"[.,](?<![a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u02af0-9][.,])")
+# A stop or comma that is not right behind a letter or digit. U+0130 is left out: its lower case ends
+# in a combining dot, which patterns take together with the stop.
+_RUN = re.compile(r"[.,](?<![a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u02af0-9][.,])")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 # A piece stands for itself with a blank before it, but for these: a stop or comma behind a
