@@ -142,9 +142,9 @@ def mark_repeats(docs: DataFrame, text: str, maybe: str, digest: str, length: st
 
 def _winners(repeated: DataFrame, id_col: str, digest: str, length: str) -> DataFrame:
     """``digest, keep_id, group_size``: the longest text of each group, then the smallest id."""
-    best = F.max(F.struct(F.col(length), -F.col(id_col)))
+    best = F.min(F.struct((-F.col(length)).alias("_short"), F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id")))
     return repeated.groupBy(digest).agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size")).select(
-        digest, (-F.col("_best.col2")).alias("keep_id"), "group_size"
+        digest, F.col("_best._id").alias("keep_id"), "group_size"
     )
 
 
