@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from termtide.llm.common import by_size, byte_pieces
 from termtide.llm.components import components
+from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
 from termtide.session import stage
 
@@ -336,9 +337,26 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str =
     set). Documents are linked if 100 times the common shingles are at least
     ``percent`` times all of both sets; ``component_id`` is the smallest id that links
     reach, and that document is kept. Empty sets (also null texts) are linked with
-    nothing. Rows that share an id must be one document. Further columns are ignored.
+    nothing. Rows that share an id are documents of their own: all of a kept id are kept. A row
+    without id comes behind all others, so its component has a null id only if no row of it has one.
+    Further columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    apart = own_ids(own, "doc_id", "text", nulls_last=True)
+    if apart is None:
+        return _groups(own, size, percent)
+    rows, number = apart
+    found = _groups(rows.select(F.col(number).alias("doc_id"), "text"), size, percent)
+    ids = rows.select(F.col(number).alias("_number"), F.col("doc_id").alias("_id"))
+    named = lookup_join(found.withColumnRenamed("doc_id", "_number"), ids, ["_number"], "inner").select(
+        F.col("_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("_number")
+    )
+    every = lookup_join(named, ids, ["_number"], "inner").select("doc_id", "n_shingles", F.col("_id").alias("component_id"))
+    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_groups`` of ``doc_id, text`` where each row has an id of its own."""
     signed = stage(sign(own, size), "signatures")
     filled = signed.filter("n_shingles > 0")
     first = F.min(F.struct("doc_id", "n_shingles", "sig"))

@@ -34,3 +34,15 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], pla
     )
     joined = placed.join(stage(starts, "range-starts"), ["_range", *group])
     return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(place), total)
+
+
+def own_ids(rows: DataFrame, id_col: str, text: str, nulls_last: bool) -> tuple[DataFrame, str] | None:
+    """``rows`` with a number of its own for each, in the order of the ids (then the texts), and the number's column.
+
+    None where each row has an id of its own; it then serves as it is.
+    """
+    shared = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(id_col).isNull())
+    if not shared.head(1):
+        return None
+    order = F.asc_nulls_last(id_col) if nulls_last else F.asc_nulls_first(id_col)
+    return numbered(rows, [], [order, F.asc(text)], "_number", "_rows").drop("_rows"), "_number"

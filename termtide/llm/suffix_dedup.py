@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from termtide.llm.common import by_size, byte_pieces
 from termtide.llm.exact_dedup import cell_numbers, repeat_filter
 from termtide.llm.suffix_sort import suffix_array
+from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
 from termtide.session import stage
 
@@ -350,9 +351,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gr
 
     A null text counts as empty; texts shorter than ``LENGTH`` bytes have nothing
     removed. Overlapping strings count, and all are judged on the input. A row without
-    id is taken as the smallest id; an id is to be there once. What stays of a text
-    may begin or end within a character. An empty table gives no rows.
+    id comes before all others; rows that share an id come in the order of their texts. What stays
+    of a text may begin or end within a character. An empty table gives no rows.
     """
+    apart = own_ids(docs.select(F.col(id_col).cast("bigint").alias("_own"), F.col(text).alias("text")), "_own", "text", nulls_last=False)
+    if apart is not None:
+        rows, number = apart
+        cut = drop_repeats(rows, number, "text", group_chunks)
+        ids = rows.select(F.col(number).alias("doc_id"), "_own")
+        return lookup_join(cut, ids, ["doc_id"], "inner").select(F.col("_own").alias("doc_id"), *cut.columns[1:])
     own = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID).cast("bigint")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
