@@ -8,15 +8,17 @@ model of one's own is applied batch by batch with ``apply_function``.
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, SQLTransformer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,3 +263,40 @@ def apply_function(
             )
 
     return entries.mapInPandas(score, schema)
+
+
+Predictor = Callable[..., dict]
+
+
+def apply_predictor(
+    entries: DataFrame, make: Callable[[], Predictor], columns: Sequence[str] = ("text",), key: str = "id", batch_size: int = 1024
+) -> DataFrame:
+    """Entries with the ``label_out, prob_out`` of a model that is loaded once a worker.
+
+    ``make`` loads the model and returns a function from arrays, one for each of ``columns``, to a dict of
+    arrays ``label_out`` and ``prob_out``. A worker that runs many tasks keeps it. A batch that the function
+    fails on, or gives another number of labels for, ends the job with the keys of its first and last entry.
+    """
+    def load():
+        predict = make()
+
+        def named(keys, *arrays):
+            try:
+                out = predict(*arrays)
+                sizes = {len(out["label_out"]), len(out["prob_out"])}
+                if sizes != {len(keys)}:
+                    raise ValueError(f"{len(keys)} entries, but {sorted(sizes)} labels and probabilities")
+            except Exception as error:
+                raise RuntimeError(f"batch of entries {keys[0]} to {keys[-1]}: {error}") from error
+            return {"label_out": np.array(out["label_out"], dtype=object), "prob_out": np.asarray(out["prob_out"], float)}
+
+        # the columns are counted by the arguments of the function
+        arguments = [inspect.Parameter(f"c{i}", inspect.Parameter.POSITIONAL_ONLY) for i in range(len(columns) + 1)]
+        named.__signature__ = inspect.Signature(arguments)
+        return named
+
+    found = T.StructType([T.StructField("label_out", T.StringType()), T.StructField("prob_out", T.DoubleType())])
+    scored = predict_batch_udf(load, return_type=found, batch_size=batch_size)
+    rows = entries.withColumn("_out", scored(F.col(key).cast("string"), *[F.col(c) for c in columns]))
+    kept = [c for c in entries.columns if c not in found.names]
+    return rows.select(*kept, "_out.label_out", "_out.prob_out")

@@ -32,7 +32,7 @@ from termtide.functions.text import (
     url_decode,
     with_net_quality,
 )
-from termtide.operators import asking, classify, encoding, labelling, metrics, selection, softmax, splitting
+from termtide.operators import asking, classify, encoding, labelling, metrics, numbering, selection, softmax, splitting
 from termtide.operators.joins import lookup_join
 from termtide.operators.splitting import SplitSize
 from termtide.plans.asking import ask_labels
@@ -43,6 +43,7 @@ from termtide.session import local_table, scratch_path, stage
 from termtide.sources import dictionaries, lexicons, lists, tables
 from termtide.sources.dictionaries import REVIEWED_QUALITY
 from termtide.sources.fixed import VOTE_COLUMNS
+from termtide.streaming.labelling import valid_entries_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,7 @@ TURN_LABELS = ["statement", "question", "request"]
 LEXICON_NAME = "speech act"
 TEXT_LENGTH = 24
 EPOCHS, RATE = 3, 4.0
+ROWS_PER_FILE = 1000
 
 
 def query(fn: Query) -> Query:
@@ -690,6 +692,25 @@ def sort_seeded_shuffle(spark, sf_dir):
     return keyed.select("id", "word", seeded_key(F.col("id")).alias("sort_key"))
 
 
+@query
+def sort_permuted(spark, sf_dir):
+    rows = standins.entries(spark, sf_dir).select("id", "word")
+    placed, _ = numbering.seeded_shuffle(rows, [F.asc("id")], seed=0)
+    return placed.select("id", "word", _big("place"))
+
+
+@query
+def sink_shuffled(spark, sf_dir):
+    """How many rows each file of a shuffle has, and which places."""
+    path = scratch_path(spark, "shuffled")
+    numbering.write_shuffled(standins.entries(spark, sf_dir).select("id", "word"), [F.asc("id")], path, ROWS_PER_FILE)
+    rows = spark.read.parquet(path).select("id", "place", F.input_file_name().alias("file"))
+    files = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.sum("id").alias("ids")
+    )
+    return files.drop("file")
+
+
 @query
 def sort_by_confidence(spark, sf_dir):
     return selection.by_confidence(standins.scored(spark, sf_dir)).select(
@@ -846,6 +867,21 @@ def ml_apply_function(spark, sf_dir):
     return scored.select("id", "label_out", F.round("prob_out", 6).alias("prob_out"))
 
 
+@query
+def ml_apply_predictor(spark, sf_dir):
+    def make():
+        def by_length(ids, texts):
+            import numpy as np
+
+            size = np.array([len(t) for t in texts])
+            return {"label_out": np.array(LANGS)[(size + ids) % 4], "prob_out": 1.0 / (1 + size % 8)}
+
+        return by_length
+
+    scored = classify.apply_predictor(standins.plain_entries(spark, sf_dir), make, ["id", "text"])
+    return scored.select("id", "label_out", F.round("prob_out", 6).alias("prob_out"))
+
+
 # --- jobs ----------------------------------------------------------------
 
 
@@ -881,6 +917,24 @@ def job_valid_entries_mixed(spark, sf_dir):
     return valid.select("dictionary", "id", "word", "text", "quality", "label")
 
 
+@query
+def job_valid_entries_stream(spark, sf_dir):
+    """The same from a stream of files in the order of ids, one a micro-batch."""
+    entries = stage(standins.plain_entries(spark, sf_dir), "entries")
+    folder, checkpoint, out = (scratch_path(spark, n) for n in ("arriving", "stream-state", "arrived"))
+    cuts = entries.approxQuantile("id", [0.3, 0.7], 0.01)
+    ranges = [F.col("id") <= cuts[0], (F.col("id") > cuts[0]) & (F.col("id") <= cuts[1]), F.col("id") > cuts[1]]
+    for part in ranges:
+        entries.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    valid = valid_entries_stream(
+        stream, standins.lexicon(spark, sf_dir), [standins.frequent_words(spark, sf_dir)], RULES
+    )
+    writer = valid.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(valid.schema).parquet(out).select("dictionary", "id", "word", "text", "quality", "label")
+
+
 @query
 def job_split_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir).select("dictionary", "id", "word", "quality", "label", "split")

@@ -437,6 +437,29 @@ all_probs AS (
 )
 """
 
+def _feistel(x: str, source: str, keep: str) -> str:
+    """``keep, x``: one pass of the network over ``source``, round by round; ``bits`` is a column of it."""
+    inner = f"SELECT {keep}, bits, n, ({x}) >> (bits // 2) AS h, ({x}) & ((1 << (bits // 2)) - 1) AS l FROM {source}"
+    for turn in range(4):
+        other, changed, size = ("l", "h", "(bits - bits // 2)") if turn % 2 == 0 else ("h", "l", "(bits // 2)")
+        value = f"('0x' || substr(md5('0:{turn}:' || {other}), 1, 8))::BIGINT % (1::BIGINT << {size})"
+        parts = {"h": "h", "l": "l", changed: f"xor({changed}, {value})"}
+        inner = f"SELECT {keep}, bits, n, {parts['h']} AS h, {parts['l']} AS l FROM ({inner})"
+    return f"SELECT {keep}, bits, n, (h << (bits // 2)) | l AS x FROM ({inner})"
+
+
+_PERMUTED = f"""
+places AS (
+    SELECT id, word, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n,
+           greatest(2, length(bin(count(*) OVER () - 1)))::BIGINT AS bits FROM entries
+),
+walked(id, word, bits, n, x) AS (
+    {_feistel("r", "places", "id, word")}
+    UNION ALL
+    {_feistel("x", "(SELECT * FROM walked WHERE x >= n)", "id, word")}
+)
+"""
+
 _LABELS_TEXT = "en, de"
 _ASKED = (
     """'which label should be assigned to the word "' || word || '" from the following """
@@ -655,6 +678,10 @@ ORACLE: dict[str, str] = {
     + " SELECT word, label FROM lab_picked",
     "sort_seeded_shuffle": f"""{_B}
         SELECT id, word, md5('0:' || CAST(id AS VARCHAR)) AS sort_key FROM entries ORDER BY sort_key""",
+    "sort_permuted": _with(_BASE, _PERMUTED) + " SELECT id, word, x AS place FROM walked WHERE x < n",
+    "sink_shuffled": _with(_BASE, _PERMUTED)
+    + """ SELECT count(*) AS n, min(x) AS first_place, max(x) AS last_place, sum(id)::BIGINT AS ids
+        FROM walked WHERE x < n GROUP BY x // 1000""",
     "sort_by_confidence": f"""{_B}
         SELECT id, word, round(prob_out, 6) AS prob_out FROM scored ORDER BY scored.prob_out DESC, id""",
     # --- sets
@@ -693,9 +720,13 @@ ORACLE: dict[str, str] = {
     "ml_apply_function": f"""{_B}
         SELECT id, ['de', 'en', 'es', 'fr'][length(text) % 4 + 1] AS label_out,
                round(1.0 / (1 + length(text) % 8), 6) AS prob_out FROM entries""",
+    "ml_apply_predictor": f"""{_B}
+        SELECT id, ['de', 'en', 'es', 'fr'][(length(text) + id) % 4 + 1] AS label_out,
+               round(1.0 / (1 + length(text) % 8), 6) AS prob_out FROM entries""",
     # --- jobs
     "agg_run_summary": _with(_BASE, _SETS, _LABEL_INDEX, _MODEL, _SUMMARY) + " SELECT * FROM summary",
     "job_valid_entries": f"{_D} SELECT dictionary, id, word, text, quality, label FROM valid",
+    "job_valid_entries_stream": f"{_D} SELECT dictionary, id, word, text, quality, label FROM valid",
     "job_valid_entries_mixed": f"""{_D} SELECT dictionary, id, word, text, quality, label FROM valid
         WHERE dictionary <> 'd1'
         UNION ALL SELECT dictionary, id, word, text, NULL, label FROM allowed WHERE dictionary = 'd1'""",

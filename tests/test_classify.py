@@ -122,3 +122,43 @@ def test_own_model(spark, texts):
     rows = classify.apply_function(texts, load).collect()
     assert {r["id"]: r["label_out"] for r in rows}[11] == "odd"
     assert all(r["prob_out"] == 0.75 for r in rows) and len(rows) == len(TEXTS)
+
+
+def test_predictor_is_loaded_once_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def predict(texts, sizes):
+            return {"label_out": ["long" if len(t) > n else "short" for t, n in zip(texts, sizes)], "prob_out": sizes / 10.0}
+
+        return predict
+
+    rows = spark.range(400).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 5).alias("n"), F.lit(1).alias("prob_out"))
+    out = classify.apply_predictor(rows.repartition(24), make, ["text", "n"], batch_size=7)
+    got = {r.id: (r.label_out, r.prob_out) for r in out.collect()}
+    assert got == {i: ("long" if len(f"t{i}") > i % 5 else "short", i % 5 / 10) for i in range(400)}
+    assert out.columns == ["id", "text", "n", "label_out", "prob_out"]
+    loaded = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loaded) == len(set(loaded)) <= 4
+
+
+def test_a_bad_batch_is_named(spark):
+    def make():
+        def predict(texts):
+            if any(t == "t13" for t in texts):
+                raise ValueError("no such text")
+            return {"label_out": ["x"] * len(texts), "prob_out": [1.0] * len(texts)}
+
+        return predict
+
+    rows = spark.range(0, 20, 1, 1).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
+    with pytest.raises(Exception, match="batch of entries 10 to 14: no such text"):
+        classify.apply_predictor(rows, make, batch_size=5).collect()
+    with pytest.raises(Exception, match="batch of entries 0 to 4: 5 entries, but"):
+        classify.apply_predictor(rows, lambda: lambda t: {"label_out": ["x"], "prob_out": [1.0]}, batch_size=5).collect()
