@@ -34,12 +34,14 @@ from termtide.llm.tokens import vocabulary_path
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY_BYTES = 96 << 20  # of remembered words; beyond it the memory starts anew
+MEMORY_BYTES = 160 << 20  # of remembered words; beyond it the memory starts anew
 _ENTRY_BYTES = 250  # of one remembered word beside its characters and ids
 _LONG = 1 << 20  # characters; words of longer texts are taken in slices
 _SLICE = 50_000
 _NO_PAIR = 1 << 62
 _PLACE_BITS = 32
+_SIDE_BY_SIDE = 65  # bytes: longer words have a tree of their own
+_WORDS_AT_ONCE = 20_000
 
 
 def byte_letters() -> list[str]:
@@ -116,6 +118,9 @@ class BytePairs:
         for rank, (left, right) in enumerate(merges):
             self.ranks[vocabulary[left], vocabulary[right]] = rank
             self.made.append(vocabulary[left + right])
+        pairs = np.array([(a << _PLACE_BITS) | b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], np.array(list(self.ranks.values()), np.int64)[order]
         self.added = dict(added)
         self.standins = standins()
         self.texts: dict[int, bytes] = {}
@@ -171,6 +176,82 @@ class BytePairs:
                 tree.set(left, ranks.get((ids[left], ids[place])))
         return [i for i in ids if i >= 0]
 
+    def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What the leaves of pairs hold: rank and place, or that there is no such pair."""
+        pair = (left << _PLACE_BITS) | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        if not len(self.pairs):
+            return np.full(pair.shape, _NO_PAIR)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at] << _PLACE_BITS | place, _NO_PAIR)
+
+    def merged_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words as little-endian 32-bit bytes."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero(lengths > _SIDE_BY_SIDE).tolist():
+            out[i] = np.array(self.merged(words[i]), "<u4").tobytes()
+        sizes = np.array([1 << max(n - 2, 0).bit_length() for n in range(_SIDE_BY_SIDE + 1)])
+        short = np.flatnonzero(lengths <= _SIDE_BY_SIDE)
+        for size in np.unique(sizes[lengths[short]]).tolist():
+            own = short[sizes[lengths[short]] == size]
+            for low in range(0, len(own), _WORDS_AT_ONCE):
+                part = own[low : low + _WORDS_AT_ONCE].tolist()
+                for i, ids in zip(part, self._merged_rows([words[i] for i in part], size), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merged_rows(self, words: list[bytes], size: int) -> list[bytes]:
+        """``merged_words`` of words whose trees have ``size`` leaves: a row of each array for each word."""
+        count, width = len(words), size + 1
+        lengths = np.array([len(w) for w in words], np.int64)
+        inside = np.arange(width) < lengths[:, None]
+        ids = np.full((count, width), -1, np.int64)
+        ids[inside] = np.array(self.first, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        tree = np.full((count, 2 * size), _NO_PAIR, np.int64)
+        paired = inside[:, 1:]
+        places = np.broadcast_to(np.arange(size), paired.shape)[paired]
+        tree[:, size:][paired] = self._keys(ids[:, :-1][paired], ids[:, 1:][paired], places)
+        level = size
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        after = np.broadcast_to(np.arange(1, width + 1), ids.shape).copy().ravel()
+        before = np.broadcast_to(np.arange(-1, width - 1), ids.shape).copy().ravel()
+        flat, nodes = ids.ravel(), tree.ravel()
+        made = np.array(self.made or [0], np.int64)
+        rows = np.flatnonzero(tree[:, 1] != _NO_PAIR)
+        while len(rows):
+            base, root = rows * width, rows * (2 * size)
+            key = nodes[root + 1]
+            place = key & ((1 << _PLACE_BITS) - 1)
+            new = made[key >> _PLACE_BITS]
+            gone = after[base + place]
+            right, left = after[base + gone], before[base + place]
+            flat[base + place], flat[base + gone] = new, -1
+            after[base + place] = right
+            follows, leads = right < lengths[rows], left >= 0
+            before[base[follows] + right[follows]] = place[follows]
+            own = np.full(len(rows), _NO_PAIR)
+            own[follows] = self._keys(new[follows], flat[base[follows] + right[follows]], place[follows])
+            nodes[root + size + place] = own
+            held = gone < size
+            nodes[root[held] + size + gone[held]] = _NO_PAIR
+            nodes[root[leads] + size + left[leads]] = self._keys(flat[base[leads] + left[leads]], new[leads], left[leads])
+            # the paths above the leaves; where there is none, the pair's own again
+            paths = [size + place, size + np.where(held, gone, place), size + np.where(leads, left, place)]
+            up = size
+            while up > 1:
+                up //= 2
+                paths = [p >> 1 for p in paths]
+                for p in paths:
+                    children = root + 2 * p
+                    nodes[root + p] = np.minimum(nodes[children], nodes[children + 1])
+            rows = rows[nodes[root + 1] != _NO_PAIR]
+        kept = ids >= 0
+        data = ids[kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, added tokens as they are written; bytes that are no UTF-8 become replacement characters."""
         parts = [b"".join(map(self.texts.__getitem__, ids[low : low + _LONG].tolist())) for low in range(0, len(ids), _LONG)]
@@ -201,36 +282,47 @@ class Encoder:
         while part := [text[a:b] for a, b in islice(spans, _SLICE)]:
             yield part
 
-    def _ids(self, words: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if self.held > self.memory:
-            known.clear()
+    def _learn(self, words: set[str]) -> None:
+        """Takes up new words; with the memory full it begins anew with all words given."""
+        new = words.difference(self.known)
+        if new and self.held > self.memory:
+            self.known.clear()
             self.held = 0
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                data = word.encode()
-                ids = np.array(self.model.merged(data), "<u4").tobytes()
-                self.held += len(data) + len(ids) + _ENTRY_BYTES
-                known[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
+            new = words
+        spelled = list(new)
+        data = [w.encode() for w in spelled]
+        found = self.model.merged_words(data)
+        self.known.update(zip(spelled, found, strict=True))
+        self.held += sum(map(len, data)) + sum(map(len, found)) + _ENTRY_BYTES * len(data)
+
+    def _ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _parts(self, text: str) -> Iterator[list[str] | bytes]:
+        """Lists of words, and the ids of added tokens between them."""
         marks = self.added.finditer(text) if self.added else ()
-        parts, start = [], 0
+        start = 0
         for mark in chain(marks, (None,)):
-            end = mark.start() if mark else len(text)
-            parts += [self._ids(words) for words in self.split(text[start:end])]
+            yield from self.split(text[start : mark.start() if mark else len(text)])
             if mark:
-                parts.append(np.array([self.model.added[mark.group()]], "<u4").tobytes())
+                yield np.array([self.model.added[mark.group()]], "<u4").tobytes()
                 start = mark.end()
-        return b"".join(parts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words of long texts are taken in slices, those of all others at once."""
+        short = [list(self._parts(t)) if len(t) <= _LONG else None for t in texts]
+        self._learn(set().union(*(p for parts in short if parts for p in parts if isinstance(p, list))))
+        found = [b"".join(p if isinstance(p, bytes) else self._ids(p) for p in parts) if parts is not None else None for parts in short]
+        for i, text in enumerate(texts):
+            if found[i] is None:
+                out = []
+                for part in self._parts(text):
+                    if isinstance(part, list):
+                        self._learn(set(part))
+                        part = self._ids(part)
+                    out.append(part)
+                found[i] = b"".join(out)
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,7 +345,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(name, shared.value)
         for batch in by_size(batches, text, 4 << 20):
-            ids = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
+            ids = coder.encode([t or "" for t in batch.column(text).to_pylist()])
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]

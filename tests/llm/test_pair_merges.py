@@ -32,7 +32,7 @@ def of_library(library, text):
 
 
 def of_ours(coder, text):
-    return np.frombuffer(coder.encode(text), "<u4").tolist()
+    return np.frombuffer(coder.encode([text])[0], "<u4").tolist()
 
 
 def test_same_as_library(library, coder):
@@ -91,6 +91,9 @@ def test_merges_against_plain_search():
         for size in (0, 1, 2, 3, 17, 64, 65):
             word = bytes(rng.choice(b"abcd") for _ in range(size))
             assert model.merged(word) == slow_merge(ranks, [vocabulary[letters[b]] for b in word])
+        words = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(70))) for _ in range(60)]
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in model.merged_words(words)]
+        assert found == [slow_merge(ranks, [vocabulary[letters[b]] for b in w]) for w in words]
 
 
 def test_tree_names_the_leftmost_least():
