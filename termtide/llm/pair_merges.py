@@ -34,14 +34,14 @@ from termtide.llm.tokens import vocabulary_path
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY_BYTES = 160 << 20  # of remembered words; beyond it the memory starts anew
+MEMORY_BYTES = 96 << 20  # of remembered words; beyond it the memory starts anew
 _ENTRY_BYTES = 250  # of one remembered word beside its characters and ids
 _LONG = 1 << 20  # characters; words of longer texts are taken in slices
 _SLICE = 50_000
 _NO_PAIR = 1 << 62
 _PLACE_BITS = 32
 _SIDE_BY_SIDE = 65  # bytes: longer words have a tree of their own
-_WORDS_AT_ONCE = 20_000
+_WORDS_AT_ONCE = 8_000
 
 
 def byte_letters() -> list[str]:
