@@ -40,7 +40,7 @@ from termtide.plans.dataset import EntryRules, make_dataset, valid_entries
 from termtide.plans.expansion import expand_lexicon
 from termtide.plans.experiment import Experiment, ExperimentConf
 from termtide.session import local_table, scratch_path, stage
-from termtide.sources import dictionaries, lexicons, lists, tables
+from termtide.sources import bucketed, dictionaries, lexicons, lists, tables
 from termtide.sources.dictionaries import REVIEWED_QUALITY
 from termtide.sources.fixed import VOTE_COLUMNS
 from termtide.streaming.labelling import valid_entries_stream
@@ -64,6 +64,7 @@ LEXICON_NAME = "speech act"
 TEXT_LENGTH = 24
 EPOCHS, RATE = 3, 4.0
 ROWS_PER_FILE = 1000
+BUCKETS = 8
 
 
 def query(fn: Query) -> Query:
@@ -500,6 +501,18 @@ def anti_train_entries(spark, sf_dir):
     )
 
 
+@query
+def join_bucketed(spark, sf_dir):
+    """Both sides of the split and the label lists, from entries kept in buckets by word."""
+    path = scratch_path(spark, "valid-buckets")
+    table = bucketed.write_bucketed(_valid(spark, sf_dir), path, BUCKETS)
+    terms = stage(splitting.test_terms(stage(_words(table), "words"), SPLIT), "terms")
+    test, train = bucketed.split_bucketed(table, terms)
+    rows = test.withColumn("split", F.lit("test")).unionByName(train.withColumn("split", F.lit("train")))
+    lists = bucketed.label_bucketed(table, standins.lexicon(spark, sf_dir)).select("dictionary", "id", _joined())
+    return rows.select("dictionary", "id", "word", "label", "split").join(lists, ["dictionary", "id"])
+
+
 @query
 def anti_new_terms(spark, sf_dir):
     fresh = labelling.new_terms(standins.scored(spark, sf_dir), standins.lexicon(spark, sf_dir))

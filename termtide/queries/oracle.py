@@ -611,6 +611,9 @@ ORACLE: dict[str, str] = {
     "semi_test_entries": f"""{_D}
         SELECT dictionary, id, word, label FROM valid WHERE word IN (SELECT word FROM picked)""",
     "anti_train_entries": f"{_D} SELECT dictionary, id, word, label FROM train",
+    "join_bucketed": f"""{_D}
+        SELECT dictionary, id, word, label, labels, CASE WHEN word IN (SELECT word FROM picked) THEN 'test' ELSE 'train' END AS split
+        FROM valid JOIN lists USING (word)""",
     "anti_new_terms": f"""{_B}
         SELECT id, word, label_out FROM scored WHERE word NOT IN (SELECT word FROM lexicon)""",
     "join_expanded_lookup": _with(_BASE, _grown("scored", "grown", "").format(threshold=0))
