@@ -219,7 +219,11 @@ def train_logistic(
             regParam=reg,
         ),
     ]
-    return Pipeline(stages=stages).fit(train.select("text", "label"))
+    model = Pipeline(stages=stages).fit(train.select("text", "label"))
+    # the summary holds the session, which cannot be sent to tasks once it has observed an output
+    nothing = train.sparkSession.sparkContext._jvm.scala.Option.empty()
+    model.stages[-1]._java_obj.setSummary(nothing)
+    return model
 
 
 def apply_logistic(entries: DataFrame, model: PipelineModel) -> DataFrame:

@@ -162,3 +162,12 @@ def test_a_bad_batch_is_named(spark):
         classify.apply_predictor(rows, make, batch_size=5).collect()
     with pytest.raises(Exception, match="batch of entries 0 to 4: 5 entries, but"):
         classify.apply_predictor(rows, lambda: lambda t: {"label_out": ["x"], "prob_out": [1.0]}, batch_size=5).collect()
+
+
+def test_regression_in_a_session_that_has_observed(spark, train, texts, tmp_path):
+    from termtide.sources.observed import write_observed
+
+    assert write_observed(texts, str(tmp_path / "seen")) == {"rows": len(TEXTS)}
+    model = classify.train_logistic(train, buckets=1 << 10)
+    assert classify.apply_logistic(texts, model).count() == len(TEXTS)
+    assert classify.apply_logistic(texts, model).collect()[0]["label_out"] == "animal"
