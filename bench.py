@@ -46,6 +46,12 @@ HEADLINE = [
     "ml_train",
     "ml_apply",
     "ml_eval",
+    "ml_encode_text",
+    "ml_train_softmax",
+    "ml_apply_softmax",
+    "sort_permuted",
+    "join_bucketed",
+    "job_valid_entries_stream",
     "job_experiment",
 ]
 
