@@ -75,12 +75,21 @@ def prompt(
     return F.concat(asked, F.lit(LABEL_ONLY)) if label_only else asked
 
 
+# Every prompt holds all worked examples; a table beyond this is no set of examples.
+MAX_EXAMPLES = 1000
+
+
 def few_shot_prefix(examples: DataFrame, lexicon_name: str = FEW_SHOT_LEXICON) -> DataFrame:
-    """One row, the text of all worked examples (``word, label``), put before each question.
+    """One row, the text of all worked examples (``word, label`` and maybe ``ord``), put before each question.
 
-    The examples are in the order of their words. They are few, as every prompt holds them.
+    The examples are in the given order, that of ``ord``; without one in the order of their words. More than
+    ``MAX_EXAMPLES`` fail the job.
     """
     line = F.format_string(FEW_SHOT_LINE, "word", "label").alias("line")
-    lines = F.array_sort(F.collect_list(F.struct("word", "label", line)))
+    order = ["ord"] if "ord" in examples.columns else []
+    lines = F.array_sort(F.collect_list(F.struct(*order, "word", "label", line)))
     text = F.array_join(F.transform(lines, lambda e: e["line"]), "")
-    return examples.agg(F.concat(F.lit(FEW_SHOT_HEAD % lexicon_name), text).alias("prefix"))
+    message = F.lit(f"more than {MAX_EXAMPLES} worked examples")
+    checked = F.when(F.count(F.lit(1)) <= MAX_EXAMPLES, text).otherwise(F.raise_error(message))
+    few = examples.limit(MAX_EXAMPLES + 1)
+    return few.agg(F.concat(F.lit(FEW_SHOT_HEAD % lexicon_name), checked).alias("prefix"))

@@ -347,6 +347,14 @@ def xf_strip_wildcard(spark, sf_dir):
     )
 
 
+@query
+def xf_strict_patterns(spark, sf_dir):
+    """Patterns without their wildcard; of two that become the same word the later one counts."""
+    # prefixes come behind whole words
+    lines = standins.patterns(spark, sf_dir).withColumn("line", F.when(F.col("is_prefix"), 1).otherwise(0).cast("bigint"))
+    return labelling.strict_lists(lines).select("word", _joined())
+
+
 @query
 def xf_label_subset(spark, sf_dir):
     words = labelling.label_lists(standins.lexicon(spark, sf_dir))
@@ -400,6 +408,15 @@ def _examples(spark, sf_dir):
     )
 
 
+@query
+def xf_prompt_few_shot_given(spark, sf_dir):
+    """The same with the examples in an order of their own."""
+    given = _examples(spark, sf_dir).withColumn("ord", -F.array_position(label_array(LANGS), F.col("label")))
+    shown = few_shot_prefix(given).scalar()
+    return standins.entries(spark, sf_dir).select("id", F.concat(shown, prompt_details(
+        F.col("word"), F.col("text"), F.col("lang"), "languages", LANGS)).alias("prompt"))
+
+
 @query
 def xf_answer_labels(spark, sf_dir):
     found = answer_labels(F.col("text"), ANSWER_LABELS)

@@ -540,6 +540,8 @@ ORACLE: dict[str, str] = {
     "xf_net_quality": f"{_B} SELECT id, quality FROM cleaned",
     "xf_constant_quality": f"{_B} SELECT id, CAST(100 AS BIGINT) AS quality FROM entries",
     "xf_strip_wildcard": f"{_B} SELECT pattern, rtrim(pattern, '*') AS stem FROM patterns",
+    "xf_strict_patterns": f"""{_B}
+        SELECT rtrim(pattern, '*') AS word, arg_max(label, is_prefix::INT) AS labels FROM patterns GROUP BY 1""",
     "xf_label_subset": f"""{_B}
         SELECT word, coalesce(string_agg(label, '|' ORDER BY ord) FILTER (label IN ('en', 'fr')), '') AS labels
         FROM lexicon GROUP BY word""",
@@ -565,6 +567,14 @@ ORACLE: dict[str, str] = {
                                  ORDER BY word, label) AS head FROM shown
         )
         SELECT id, head || {_details("text", "lang")} AS prompt FROM entries, head""",
+    "xf_prompt_few_shot_given": f"""{_B},
+        shown AS (SELECT label, min(word) AS word FROM firsts GROUP BY label),
+        head AS (
+            SELECT 'Using the following LIWC 2015 labels for the following words as example:' || chr(10)
+                   || string_agg('"' || word || '" labeled as "' || label || '"' || chr(10), ''
+                                 ORDER BY label DESC) AS head FROM shown
+        )
+        SELECT id, head || {_details("text", "lang")} AS prompt FROM entries, head""",
     "xf_answer_labels": f"""
         WITH names(label, i) AS (VALUES {_ANSWER_VALUES}),
         hits AS (

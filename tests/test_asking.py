@@ -86,3 +86,15 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
 def test_last_answer_counts(spark, write):
     path = write("a.jsonl", '{"key": "k", "value": "1"}\n{"key": "j", "value": "5"}\n{"key": "k", "value": "2"}\n')
     assert {r["key"]: r["value"] for r in read_answers(spark, path).collect()} == {"k": "2", "j": "5"}
+
+
+def test_few_shot_in_the_given_order_and_number(spark, monkeypatch):
+    from termtide.functions import prompts
+
+    rows = [(2, "friend", "social"), (1, "run", "bio"), (3, "arm", "bio")]
+    examples = spark.createDataFrame(rows, "ord int, word string, label string")
+    lines = few_shot_prefix(examples, "L").first()["prefix"].split("\n")
+    assert lines[1:] == ['"run" labeled as "bio"', '"friend" labeled as "social"', '"arm" labeled as "bio"', ""]
+    monkeypatch.setattr(prompts, "MAX_EXAMPLES", 2)
+    with pytest.raises(Exception, match="more than 2 worked examples"):
+        few_shot_prefix(examples, "L").collect()
