@@ -32,8 +32,9 @@ from termtide.functions.text import (
     url_decode,
     with_net_quality,
 )
-from termtide.operators import asking, classify, encoding, labelling, metrics, numbering, selection, softmax, splitting
+from termtide.operators import asking, classify, encoding, labelling, metrics, numbering, selection, splitting
 from termtide.operators.joins import lookup_join
+from termtide.operators.softmax import Training, apply_softmax, train_softmax
 from termtide.operators.splitting import SplitSize
 from termtide.plans.asking import ask_labels
 from termtide.plans.dataset import EntryRules, make_dataset, valid_entries
@@ -826,7 +827,7 @@ def _softmax(spark, sf_dir):
     pieces = _vocabulary(spark, sf_dir)
     labels = [row["label"] for row in classify.label_index(train, test).orderBy("idx").collect()]
     coded = stage(encoding.encode_pieces(train, pieces, TEXT_LENGTH).drop("text"), "encoded")
-    model = softmax.train_softmax(coded, labels, pieces.size, scratch_path(spark, "softmax"), softmax.Training(EPOCHS, RATE))
+    model = train_softmax(coded, labels, pieces.size, scratch_path(spark, "softmax"), Training(EPOCHS, RATE))
     return model, pieces
 
 
@@ -842,7 +843,7 @@ def ml_train_softmax(spark, sf_dir):
 def ml_apply_softmax(spark, sf_dir):
     model, pieces = _softmax(spark, sf_dir)
     coded = encoding.encode_pieces(standins.plain_entries(spark, sf_dir), pieces, TEXT_LENGTH)
-    scored = softmax.apply_softmax(coded, model, ["word"])
+    scored = apply_softmax(coded, model, ["word"])
     return scored.select("dictionary", "id", "word", "label_out", F.round("prob_out", 4).alias("prob_out"))
 
 

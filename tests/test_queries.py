@@ -25,14 +25,21 @@ QUICK = [
     "job_ask_labels",
     "job_split_dataset",
     "job_valid_entries_mixed",
+    "join_bucketed",
     "join_label_prefix",
     "join_lookup_mapped",
     "ml_apply",
+    "ml_apply_softmax",
+    "ml_encode_text",
+    "ml_train_softmax",
+    "sort_permuted",
     "src_dictionary_votes",
     "src_scored",
     "src_lexicon_wide",
     "win_best_quality",
     "xf_prompt_details",
+    "xf_softmax_argmax",
+    "xf_strict_patterns",
 ]
 ALL = sorted(entry.oracle_sql())
 # queries of the optional subpackage have their own tests
