@@ -7,14 +7,19 @@ coordinates but with negligible probability, and then, in any fixed order of the
 lists, their first ``COORDINATES - match_threshold + 1`` lists (the prefix) have
 one in common. Lists are ordered by length, shortest first, so that the long lists
 of common shingles are skipped: collisions in them are only counted, on sketches of the
-signatures that lie beside the postings, for pairs that meet in a shorter one.
+signatures, for pairs that meet in a shorter one.
 
 Documents with equal sets are one representative. Pairs are then met list by list
-without listing all pairs of a group: in each round every representative meets
-one random member of each of its lists that it is not connected with yet; pairs
-above the match threshold are confirmed on the full shingle sets. When rounds find
-little more, a last step meets all pairs of a list that are still unconnected:
-members outside the largest component of the list with all others.
+without listing all pairs of a group: in each round every list has one random leader,
+and every representative counts the lists in which it meets each leader it is not connected
+with; the one met most often is its partner of the round, so a round has at most one pair for each
+representative. When rounds find little more, a last step meets the pairs of a list that are still
+unconnected: members outside the largest component of the list with all others.
+
+A pair goes to its full shingle sets only if its sizes allow the similarity, its sketches
+agree in enough coordinates, and its parities allow it: bit ``i`` of a set's parity says
+whether an odd number of its shingles fall in cell ``i``, so two parities differ in no more
+bits than shingles are in one set only. That bound is certain and loses no pair.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ _CELLS = 1 << 22
 _BLOCK = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_KEPT = 500_000
+# Cells of a parity. Sets of far more shingles than that are told apart by their sketches alone.
+PARITY_BITS = 1024
 
 
 def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
@@ -104,27 +111,37 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit a cell: whether an odd number of the hashes fall in it."""
+    cells = (hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
+
+
+_SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary, parity binary"
 
 
 def sign(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sig``: size and 128-bit digest of the shingle set, and its signature."""
+    """``doc_id, n_shingles, d1, d2, sig, parity``: size and 128-bit digest of the shingle set, its signature and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in by_size(batches, "text"):
             data, offsets = byte_pieces(batch.column("text"))
             data = data.tobytes()
-            counts, digests, sigs = [], [], []
+            counts, digests, sigs, parities = [], [], [], []
             for i in range(batch.num_rows):
                 hashes = shingle_hashes(data[offsets[i] : offsets[i + 1]], size, known)
                 counts.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sigs.append(signature(hashes).tobytes() if len(hashes) else b"")
+                parities.append(parity(hashes))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                [
+                    *(batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])),
+                    *(pa.array(sigs, pa.binary()), pa.array(parities, pa.binary())),
+                ],
+                ["doc_id", "n_shingles", "d1", "d2", "sig", "parity"],
             )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -183,47 +200,71 @@ def list_lengths(sigs: DataFrame) -> np.ndarray:
 
 
 def postings(reps: DataFrame, threshold: int) -> DataFrame:
-    """``key, rep`` and the sketch: each representative (``rep, sig``) under the lists of its prefix."""
+    """``key, rep``: each representative (``rep, sig``) under the lists of its prefix."""
     prefix = COORDINATES - threshold + 1
     lengths = reps.sparkSession.sparkContext.broadcast(list_lengths(reps.select("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sigs = batch.column("sig").to_pylist()
-                keys = _keys(sigs)
+                keys = _keys(batch.column("sig").to_pylist())
                 order = np.lexsort((keys, lengths.value[_cells(keys)]))[:, :prefix]
                 names = np.take_along_axis(keys, order, axis=1).ravel().view(np.int64)
-                reps = np.repeat(batch.column("rep").to_numpy(), prefix)
-                sketch = [pa.array(np.repeat(x, prefix)) for x in _sketches(sigs)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(reps), *sketch], ["key", "rep", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.repeat(batch.column("rep").to_numpy(), prefix))], ["key", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", "rep", *_SKETCH)))
+    return reps.select("rep", "sig").mapInArrow(run, "key bigint, rep bigint")
 
 
 _SKETCH = [f"s{i}" for i in range(4)]
+_PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 
-def _sketches(sigs: list[bytes]) -> list[np.ndarray]:
-    """The last four bits of each coordinate, sixteen in a number."""
-    values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, len(_SKETCH), 16).astype(np.uint64) & np.uint64(15)
-    packed = (values << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-    return [packed[:, i].view(np.int64) for i in range(len(_SKETCH))]
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last four bits of each coordinate, sixteen in a number, and the parity as numbers."""
+    for batch in batches:
+        if batch.num_rows:
+            values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, len(_SKETCH), 16)
+            low = values.astype(np.uint64) & np.uint64(15)
+            packed = (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.int64).reshape(-1, len(_PARITY))
+            numbers = [pa.array(np.ascontiguousarray(column)) for table in (packed, bits) for column in table.T]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n_shingles"), *numbers], ["rep", "n_shingles", *_SKETCH, *_PARITY])
 
 
-def _apart() -> Column:
-    """How many coordinates of two documents differ for certain: in their last four bits.
+def sketches(reps: DataFrame) -> DataFrame:
+    """``rep, n_shingles``, the sketch and the parity of each representative."""
+    numbers = ", ".join(f"{c} bigint" for c in ("rep", "n_shingles", *_SKETCH, *_PARITY))
+    return reps.select("rep", "n_shingles", "sig", "parity").mapInArrow(_sketched, numbers)
 
-    Equal coordinates never count, so no pair above the match threshold is missed; of
-    other coordinates one in sixteen goes unseen.
-    """
+
+def _sum(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
+
+
+def _apart() -> Column:
+    """How many coordinates of two documents differ for certain: in their last four bits."""
     counts = []
     for name in _SKETCH:
         x = F.col(name).bitwiseXOR(F.col(f"{name}_b"))
         for bits in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
         counts.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
-    return sum(counts[1:], counts[0])
+    return _sum(counts)
+
+
+def able_sizes(percent: int) -> Column:
+    """Whether the sizes ``n_shingles, n_b`` of two sets allow the similarity."""
+    return (100 * F.least("n_shingles", "n_b")) >= percent * F.greatest("n_shingles", "n_b")
+
+
+def close_sketches(percent: int) -> Column:
+    """Whether two sets can have the similarity, by sketches (but with negligible probability) and parities (for certain)."""
+    similarity = percent / 100
+    # other coordinates agree in their last four bits one time in sixteen
+    collide = _apart() <= COORDINATES - match_threshold(similarity + (1 - similarity) / 16)
+    odd = _sum([F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in _PARITY])
+    # shingles in one set only are at most (1 - s) / (1 + s) of both sizes
+    return collide & (odd * (100 + percent) <= (100 - percent) * (F.col("n_shingles") + F.col("n_b")))
 
 
 def _confirmed(size: int, percent: int):
@@ -244,23 +285,26 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _with(pairs: DataFrame, table: DataFrame, side: str, value: str) -> DataFrame:
-    """``pairs`` with the ``value`` of one side's representative."""
-    other = table.select(F.col("rep").alias(side), F.col(value).alias(f"{value}_{side}"))
+def _with(pairs: DataFrame, table: DataFrame, side: str, values: dict[str, str]) -> DataFrame:
+    """``pairs`` with columns of one side's representative, under the names given."""
+    other = table.select(F.col("rep").alias(side), *[F.col(old).alias(new) for old, new in values.items()])
     return lookup_join(pairs, other, [side], "inner")
 
 
+def _b_side(columns: list[str]) -> dict[str, str]:
+    return {c: "n_b" if c == "n_shingles" else f"{c}_b" for c in columns}
+
+
 class _Search:
     def __init__(self, docs: DataFrame, reps: DataFrame, size: int, percent: int):
-        self.reps, self.size, self.percent = reps, size, percent
-        self.threshold = match_threshold(percent / 100)
+        self.size, self.percent = size, percent
         self.texts = docs.select(F.col("doc_id").alias("rep"), "text")
-        lists = stage(postings(reps, self.threshold), "postings")
+        self.sketches = stage(sketches(reps), "sketches")
+        lists = stage(postings(reps, match_threshold(percent / 100)), "postings")
         # lists of one member join nobody
         shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         sizes = reps.select("rep", "n_shingles")
         self.lists = stage(lookup_join(lookup_join(lists, shared, ["key"], "inner"), sizes, ["rep"], "inner"), "shared-postings")
-        self.links = None
         self.labels = None
 
     def labelled(self) -> DataFrame:
@@ -269,25 +313,13 @@ class _Search:
         known = self.labels.select(F.col("node").alias("rep"), F.col("label").alias("_l"))
         return lookup_join(self.lists, known, ["rep"], "left").withColumn("label", F.coalesce("_l", "rep")).drop("_l")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs ``a, b``, those whose sets have the similarity."""
-        close = stage(pairs.distinct(), "close-pairs")
+    def confirmed(self, close: DataFrame) -> DataFrame:
+        """Of the staged pairs ``a, b``, those whose sets have the similarity."""
         ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
         texts = self.texts.join(ends, "rep", "left_semi").select("rep", F.col("text").cast("binary").alias("text"))
-        paired = _with(_with(close, texts, "a", "text"), texts, "b", "text")
+        paired = _with(_with(close, texts, "a", {"text": "text_a"}), texts, "b", {"text": "text_b"})
         return paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.size, self.percent), "a bigint, b bigint")
 
-    def close(self) -> Column:
-        """Sizes and collisions that the similarity needs."""
-        able = (100 * F.least("n_shingles", "n_b")) >= self.percent * F.greatest("n_shingles", "n_b")
-        return able & (_apart() <= COORDINATES - self.threshold)
-
-    @staticmethod
-    def partner() -> list[Column]:
-        """A member's columns as those of the other one."""
-        renamed = [F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), *[F.col(c).alias(f"{c}_b") for c in _SKETCH]]
-        return [F.col("rep").alias("b"), *renamed]
-
     def add(self, links: DataFrame) -> bool:
         """Takes links in and connects; says whether there were any."""
         links = stage(links, "links")
@@ -308,12 +340,17 @@ class _Search:
         return True
 
     def leader_round(self, number: int) -> bool:
+        """Each representative and the leader it meets in most lists; says whether there were links."""
         lists = self.labelled()
-        rank = F.xxhash64(F.lit(number), "key", "rep") if number else F.xxhash64(F.lit(number), "rep")
-        first = F.min(F.struct(rank.alias("rank"), *self.partner())).alias("_l")
-        leaders = lists.groupBy("key").agg(first).select("key", "_l.*").drop("rank")
-        met = lookup_join(lists, leaders, ["key"], "inner").filter((F.col("label") != F.col("label_b")) & self.close())
-        return self.add(self.near(met.select(F.col("rep").alias("a"), "b")))
+        member = F.struct(F.xxhash64(F.lit(number), "rep").alias("rank"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
+        leaders = lists.groupBy("key").agg(F.min(member).alias("_l")).select("key", "_l.*").drop("rank")
+        met = lookup_join(lists, leaders, ["key"], "inner").filter((F.col("label") != F.col("label_b")) & able_sizes(self.percent))
+        collisions = met.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
+        most = collisions.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("n", "b")).alias("_m"))
+        partners = stage(most.select("a", F.col("_m.b").alias("b")), "partners")
+        columns = ["n_shingles", *_SKETCH, *_PARITY]
+        both = _with(_with(partners, self.sketches, "a", {c: c for c in columns}), self.sketches, "b", _b_side(columns))
+        return self.add(self.confirmed(stage(both.filter(close_sketches(self.percent)).select("a", "b"), "close-pairs")))
 
     def all_others(self) -> None:
         """Every pair of a list that is not connected yet."""
@@ -321,12 +358,15 @@ class _Search:
         counts = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_m"), F.count(F.lit(1)).alias("labels"))
         mixed = largest.filter("labels > 1").select("key", F.col("_m.label").alias("main"))
-        open_ = stage(lookup_join(lists, mixed, ["key"], "inner"), "open-postings")
-        few = open_.filter("label <> main").select(F.col("key").alias("_key"), *self.partner())
+        rest = lookup_join(lists, mixed, ["key"], "inner").drop("n_shingles")
+        open_ = stage(lookup_join(rest, self.sketches, ["rep"], "inner"), "open-postings")
+        columns = ["rep", "label", "n_shingles", *_SKETCH, *_PARITY]
+        few = open_.filter("label <> main").select(F.col("key").alias("_key"), *[F.col(old).alias(new) for old, new in _b_side(columns).items()])
         # members outside the main component meet all of it, and each other once
-        cond = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("rep") < F.col("b")))
-        met = open_.join(few, (F.col("key") == F.col("_key")) & cond & self.close())
-        self.add(self.near(met.select(F.col("rep").alias("a"), "b")))
+        cond = (F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("main")) | (F.col("rep") < F.col("rep_b")))
+        met = open_.join(few, (F.col("key") == F.col("_key")) & cond & able_sizes(self.percent) & close_sketches(self.percent))
+        pairs = met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+        self.add(self.confirmed(stage(pairs, "close-pairs")))
 
 
 def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,8 +399,9 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     """``near_groups`` of ``doc_id, text`` where each row has an id of its own."""
     signed = stage(sign(own, size), "signatures")
     filled = signed.filter("n_shingles > 0")
-    first = F.min(F.struct("doc_id", "n_shingles", "sig"))
-    reps = filled.groupBy("d1", "d2").agg(first.alias("_f")).select("d1", "d2", F.col("_f.doc_id").alias("rep"), "_f.n_shingles", "_f.sig")
+    first = F.min(F.struct("doc_id", "n_shingles", "sig", "parity"))
+    columns = [F.col("_f.doc_id").alias("rep"), "_f.n_shingles", "_f.sig", "_f.parity"]
+    reps = filled.groupBy("d1", "d2").agg(first.alias("_f")).select("d1", "d2", *columns)
     reps = stage(reps, "representatives")
     search = _Search(own, reps, size, percent)
     for number in range(LEADER_ROUNDS):
