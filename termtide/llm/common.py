@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -69,6 +69,22 @@ def by_size(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20)
             start = end
 
 
+_MEMORY: dict[tuple, object] = {}
+
+
+def remembered(name: tuple, make: Callable[[], object]):
+    """What this worker has kept under ``name`` since earlier tasks, at first ``make()``; one memory at a time."""
+    if name not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[name] = make()
+    return _MEMORY[name]
+
+
+def forget() -> None:
+    """Empties the memory of earlier tasks. Workers outlive the stage that filled it, so stages without one call this."""
+    _MEMORY.clear()
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the executors, unless they find it by their own path.
 

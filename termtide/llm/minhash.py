@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termtide.llm.common import by_size, byte_pieces
+from termtide.llm.common import by_size, byte_pieces, forget
 from termtide.llm.components import components
 from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
@@ -124,6 +124,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, sig, parity``: size and 128-bit digest of the shingle set, its signature and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         for batch in by_size(batches, "text"):
             data, offsets = byte_pieces(batch.column("text"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termtide.llm import tokens
+from termtide.llm.common import forget
 from termtide.session import scratch_path, stage
 
 SEQUENCE_TOKENS = 2048
@@ -73,6 +74,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Holds one range: ``ROWS_PER_RANGE`` rows on average.
     """
+    forget()
     part = TaskContext.get().partitionId()
     open_gaps: list[int] = []
     rows: list[tuple] = []

@@ -17,10 +17,14 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from termtide.llm.common import by_size, remembered
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
 
 # Pieces remembered; each takes some 150 bytes. Beyond it the memory starts anew.
 MEMORY_PIECES = 600_000
+# New pieces given to the library in one text, whose tokens take some hundred bytes each.
+LEARNED_AT_ONCE = 20_000
 _END = np.zeros(1, "<u4").tobytes()  # id 0 ends a document
 
 # Before the last blank of a run of white space, if a word follows: byte-level patterns let
@@ -102,18 +106,18 @@ class PieceEncoder:
                 joined.append(piece)
             else:
                 self.known[piece] = np.array(self._plain(piece), "<u4").tobytes()
-        if not joined:
-            return
-        ids = np.array(self._plain(f" {self.mark} ".join(joined)), "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark_ids[0]), len(ids))
-        if len(ends) != len(joined):  # a piece whose ids hold the mark's after all
-            for piece in joined:
-                self.known[piece] = np.array(self._plain(piece), "<u4").tobytes()
-            return
-        start = 0
-        for piece, end in zip(joined, ends.tolist(), strict=True):
-            self.known[piece] = ids[start:end].tobytes()
-            start = end + 1
+        for low in range(0, len(joined), LEARNED_AT_ONCE):
+            part = joined[low : low + LEARNED_AT_ONCE]
+            ids = np.array(self._plain(f" {self.mark} ".join(part)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_ids[0]), len(ids))
+            if len(ends) != len(part):  # a piece whose ids hold the mark's after all
+                for piece in part:
+                    self.known[piece] = np.array(self._plain(piece), "<u4").tobytes()
+                continue
+            start = 0
+            for piece, end in zip(part, ends.tolist(), strict=True):
+                self.known[piece] = ids[start:end].tobytes()
+                start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -146,8 +150,8 @@ class ByteLevelEncoder(PieceEncoder):
                 joined.append(piece)
             else:
                 self.known[piece] = np.array(self._plain(written(piece)), "<u4").tobytes()
-        for low in range(0, len(joined), 20_000):
-            part = joined[low : low + 20_000]
+        for low in range(0, len(joined), LEARNED_AT_ONCE):
+            part = joined[low : low + LEARNED_AT_ONCE]
             ids = np.array(self._plain(" " + " ".join(part)), "<u4")
             ends = np.cumsum([len(p.encode()) + 1 for p in part])
             reach = np.cumsum(self.width[ids])
@@ -162,16 +166,14 @@ class ByteLevelEncoder(PieceEncoder):
                 start = end
 
 
-_ENCODERS: dict[tuple, PieceEncoder] = {}
+def _make(path: str) -> PieceEncoder:
+    byte_level = "ByteLevel(" in repr(Tokenizer.from_file(vocabulary_path(path)).pre_tokenizer)[:12]
+    return ByteLevelEncoder(path) if byte_level else PieceEncoder(path, space_split)
 
 
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a vocabulary, with what it has learned in earlier tasks."""
-    if path not in _ENCODERS:
-        byte_level = "ByteLevel(" in repr(Tokenizer.from_file(vocabulary_path(path)).pre_tokenizer)[:12]
-        _ENCODERS.clear()  # one memory at a time
-        _ENCODERS[path] = ByteLevelEncoder(path) if byte_level else PieceEncoder(path, space_split)
-    return _ENCODERS[path]
+    return remembered(("tokens", path), lambda: _make(path))
 
 
 def encoded(batch: pa.RecordBatch, text: str, path: str) -> list[bytes]:
@@ -185,6 +187,4 @@ def crc(data: bytes) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    from termtide.llm.common import by_size
-
     return by_size(batches, text, 4 << 20)

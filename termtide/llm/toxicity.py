@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import by_size, filled
+from termtide.llm.common import by_size, filled, forget
 from termtide.session import stage
 
 # The bounded sample of labelled rows that a lexicon is learned from, in hash order.
@@ -129,6 +129,7 @@ def in_sample(labels: DataFrame) -> DataFrame:
 
 
 def _folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in by_size(batches, "text"):
         texts = [fold(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(texts), batch.column("toxic")], ["folded", "toxic"])
@@ -289,6 +290,7 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "toxicity", text: str
     place = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         automaton = lexicon.automaton()
         for batch in by_size(batches, text):
             x = np.array([density(fold(t or ""), automaton) for t in batch.column(place).to_pylist()])
