@@ -11,8 +11,8 @@ signatures, for pairs that meet in a shorter one.
 
 Documents with equal sets are one representative. Pairs are then met list by list
 without listing all pairs of a group: in each round every list has one random leader,
-and every representative counts the lists in which it meets each leader it is not connected
-with; the one met most often is its partner of the round, so a round has at most one pair for each
+and of the leaders that a representative meets and is not connected with, the one
+nearest by sketch and parity is its partner of the round, so a round has at most one pair for each
 representative. When rounds find little more, a last step meets the pairs of a list that are still
 unconnected: members outside the largest component of the list with all others.
 
@@ -258,14 +258,18 @@ def able_sizes(percent: int) -> Column:
     return (100 * F.least("n_shingles", "n_b")) >= percent * F.greatest("n_shingles", "n_b")
 
 
+def _odd() -> Column:
+    """In how many bits two parities differ."""
+    return _sum([F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in _PARITY])
+
+
 def close_sketches(percent: int) -> Column:
     """Whether two sets can have the similarity, by sketches (but with negligible probability) and parities (for certain)."""
     similarity = percent / 100
     # other coordinates agree in their last four bits one time in sixteen
     collide = _apart() <= COORDINATES - match_threshold(similarity + (1 - similarity) / 16)
-    odd = _sum([F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in _PARITY])
     # shingles in one set only are at most (1 - s) / (1 + s) of both sizes
-    return collide & (odd * (100 + percent) <= (100 - percent) * (F.col("n_shingles") + F.col("n_b")))
+    return collide & (_odd() * (100 + percent) <= (100 - percent) * (F.col("n_shingles") + F.col("n_b")))
 
 
 def _confirmed(size: int, percent: int):
@@ -341,17 +345,18 @@ class _Search:
         return True
 
     def leader_round(self, number: int) -> bool:
-        """Each representative and the leader it meets in most lists; says whether there were links."""
+        """Each representative and the nearest leader it meets; says whether there were links."""
         lists = self.labelled()
-        member = F.struct(F.xxhash64(F.lit(number), "rep").alias("rank"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
+        rank = F.xxhash64(F.lit(number), "key", "rep") if number else F.xxhash64(F.lit(number), "rep")
+        member = F.struct(rank.alias("rank"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
         leaders = lists.groupBy("key").agg(F.min(member).alias("_l")).select("key", "_l.*").drop("rank")
         met = lookup_join(lists, leaders, ["key"], "inner").filter((F.col("label") != F.col("label_b")) & able_sizes(self.percent))
-        collisions = met.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
-        most = collisions.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("n", "b")).alias("_m"))
-        partners = stage(most.select("a", F.col("_m.b").alias("b")), "partners")
+        pairs = met.select(F.col("rep").alias("a"), "b").distinct()
         columns = ["n_shingles", *_SKETCH, *_PARITY]
-        both = _with(_with(partners, self.sketches, "a", {c: c for c in columns}), self.sketches, "b", _b_side(columns))
-        return self.add(self.confirmed(stage(both.filter(close_sketches(self.percent)).select("a", "b"), "close-pairs")))
+        both = _with(_with(pairs, self.sketches, "a", {c: c for c in columns}), self.sketches, "b", _b_side(columns))
+        close = both.filter(close_sketches(self.percent)).withColumn("odd", _odd())
+        nearest = close.groupBy("a").agg(F.min(F.struct("odd", "b")).alias("_n")).select("a", F.col("_n.b").alias("b"))
+        return self.add(self.confirmed(stage(nearest, "close-pairs")))
 
     def all_others(self) -> None:
         """Every pair of a list that is not connected yet."""
