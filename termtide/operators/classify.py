@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, SQLTransformer, StringIndexer
@@ -32,6 +33,8 @@ _PRIOR = ""
 # Words frequent in training are joined without a shuffle, by a table of at
 # most this many rows; the rest of the vocabulary is joined by shuffle.
 FREQUENT_WORDS = 8192
+# What a model of one's own is given at once, besides Spark's bound of rows.
+BATCH_BYTES = 1 << 20
 
 
 def label_index(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -248,7 +251,8 @@ def apply_function(
     """Entries with the ``label_out, prob_out`` a model of one's own gives them.
 
     ``load`` is called once per task and returns a function from a batch of
-    entries to a frame with the two columns, row for row.
+    entries to a frame with the two columns, row for row. A batch is bounded in rows
+    and in bytes; the entries themselves pass by as they came.
     """
     schema = T.StructType(
         [
@@ -257,16 +261,31 @@ def apply_function(
             T.StructField("prob_out", T.DoubleType()),
         ]
     )
+    names = schema.names
+    zone = entries.sparkSession.conf.get("spark.sql.session.timeZone")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = BATCH_BYTES
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        """As Spark hands it to pandas functions: times without zone, in the session's."""
+        out = batch.to_pandas(date_as_object=True)
+        for name, kind in zip(batch.schema.names, batch.schema.types, strict=True):
+            if pa.types.is_timestamp(kind) and kind.tz:
+                out[name] = out[name].dt.tz_convert(zone).dt.tz_localize(None)
+        return out
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            out = model(batch)
-            yield batch.assign(
-                label_out=out["label_out"].to_numpy(), prob_out=out["prob_out"].to_numpy()
-            )
-
-    return entries.mapInPandas(score, schema)
+            rows = max(1, batch.num_rows * size // max(batch.nbytes, size))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = model(frame(part))
+                labels = pa.array(out["label_out"].to_numpy(), pa.string(), from_pandas=True)
+                probs = pa.array(out["prob_out"].to_numpy(float, na_value=np.nan), pa.float64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, labels, probs], names)
+
+    return entries.mapInArrow(score, schema)
 
 
 Predictor = Callable[..., dict]

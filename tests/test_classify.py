@@ -171,3 +171,20 @@ def test_regression_in_a_session_that_has_observed(spark, train, texts, tmp_path
     model = classify.train_logistic(train, buckets=1 << 10)
     assert classify.apply_logistic(texts, model).count() == len(TEXTS)
     assert classify.apply_logistic(texts, model).collect()[0]["label_out"] == "animal"
+
+
+def test_own_model_is_given_bounded_batches(spark):
+    def load():
+        def model(batch: pd.DataFrame) -> pd.DataFrame:
+            held = batch["text"].str.len().sum()
+            return pd.DataFrame({"label_out": [str(held)] * len(batch), "prob_out": [None, *[0.5] * (len(batch) - 1)]})
+
+        return model
+
+    rows = spark.range(3000).select("id", F.expr("repeat('x', 4000)").alias("text"), F.expr("timestamp_seconds(id)").alias("at"))
+    out = classify.apply_function(rows.coalesce(1), load)
+    found = out.select("id", "at", "label_out", "prob_out", F.length("text").alias("n")).collect()
+    assert sorted(r.id for r in found) == list(range(3000)) and {r.n for r in found} == {4000}
+    assert all(r["at"].timestamp() == r["id"] for r in found)
+    assert max(int(r.label_out) for r in found) <= classify.BATCH_BYTES
+    assert {r.prob_out for r in found} == {None, 0.5}
