@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from termtide.plans.dataset import EntryRules, valid_entries
+from termtide.queries import catalog
 from termtide.streaming.labelling import valid_entries_stream
 
 SCHEMA = "dictionary string, id bigint, word string, text string, quality int"
@@ -55,3 +57,14 @@ def test_best_of_a_stream_is_refused(spark, tables):
     )
     with pytest.raises(ValueError, match="first"):
         valid_entries_stream(stream, tables[1], [], EntryRules(top_n=1, top_by="quality"))
+
+
+def test_arriving_files_are_written_by_many_tasks(spark, monkeypatch):
+    made, real = {}, catalog.scratch_path
+    monkeypatch.setattr(catalog, "scratch_path", lambda session, label: made.setdefault(label, real(session, label)))
+    found = catalog.QUERIES["job_valid_entries_stream"](spark, "/root/testdata/sf0.001")
+    folder = Path(made["arriving"].removeprefix("file:"))
+    assert len(list(folder.glob("part-*.parquet"))) > 3
+    assert len(list(Path(made["stream-state"].removeprefix("file:")).glob("commits/[0-9]*"))) == 3
+    whole = catalog.QUERIES["job_valid_entries"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
