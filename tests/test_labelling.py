@@ -214,3 +214,12 @@ def test_answer_labels(spark, answer, labels):
 def test_answer_labels_whole_word(spark):
     known = ["bio", "affect"]
     assert one(spark, answer_labels(F.lit("biology affect bio."), known, whole_word=True)) == ["affect", "bio"]
+
+
+def test_few_first_labels_are_met_without_a_shuffle_of_texts(spark):
+    entries = spark.range(2000).select("id", F.lit("d").alias("dictionary"), F.concat(F.lit("W"), F.col("id") % 50).alias("word"), F.lit("x").alias("text"))
+    # few words, but the optimizer cannot tell
+    lexicon = spark.range(5_000_000).filter("id < 40").select(F.concat(F.lit("w"), "id").alias("word"), F.lit("a").alias("label"), F.col("id").alias("ord"))
+    labelled = labelling.label_first(entries, lexicon)
+    assert "SortMergeJoin" not in labelled._jdf.queryExecution().executedPlan().toString()
+    assert labelled.count() == 2000 // 50 * 40 and {r.label for r in labelled.collect()} == {"a"}
