@@ -30,9 +30,10 @@ from termtide.operators.joins import lookup_join
 
 # The pseudo word every text has once; its weights are the class priors.
 _PRIOR = ""
-# Words frequent in training are joined without a shuffle, by a table of at
-# most this many rows; the rest of the vocabulary is joined by shuffle.
-FREQUENT_WORDS = 8192
+# Words frequent in training are joined without a shuffle, by a table of at most this many
+# rows and, with many labels, of this many numbers; the rest of the vocabulary is joined by shuffle.
+FREQUENT_WORDS = 1 << 20
+FREQUENT_NUMBERS = 1 << 22
 # What a model of one's own is given at once, besides Spark's bound of rows.
 BATCH_BYTES = 1 << 20
 
@@ -124,32 +125,32 @@ def train_naive_bayes(train: DataFrame, labels: Sequence[str]) -> NaiveBayes:
 def naive_bayes_scores(
     entries: DataFrame, model: NaiveBayes, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """``dictionary, id, *carry, s0, s1, ...``: the log score of each class.
+    """``dictionary, id, *carry, trained, s0, s1, ...``: the log score of each class.
 
     Tokens that are frequent in training meet their weights in a table of
     bounded size, so the few words that make up most of all texts are summed up
-    where they are read. Only the other tokens are shuffled. Unseen ones drop.
+    where they are read. Only the other tokens are shuffled, in a second pass over the
+    texts; a model within the bound needs none. Unseen tokens drop. Entries of a dictionary
+    that had no training rows are not ``trained`` and have null scores. Weights that are not stored are worked out anew by each use.
     """
     keep = ["dictionary", "id", *carry]
     width = len(model.labels)
     words = F.concat(F.array(F.lit(_PRIOR)), words_of(F.coalesce("text", F.lit(""))))
     tokens = entries.select(*keep, F.explode(words).alias("token"))
+    limit = min(FREQUENT_WORDS, max(8192, FREQUENT_NUMBERS // max(width, 1)))
+    whole = model.weights.limit(limit + 1).count() <= limit
     # the bound leaves room for one prior per dictionary ahead of the words
-    frequent = (
-        model.weights.orderBy(F.desc("n"), "dictionary", "token")
-        .limit(FREQUENT_WORDS)
-        .select("dictionary", "token", "w")
-    )
+    ranked = model.weights if whole else model.weights.orderBy(F.desc("n"), "dictionary", "token").limit(limit)
+    frequent = ranked.select("dictionary", "token", "w")
     keys = ["dictionary", "token"]
-    near = tokens.join(F.broadcast(frequent), keys)
+    near = tokens.join(F.broadcast(frequent), keys, "left").filter(F.col("w").isNotNull() | (F.col("token") == _PRIOR))
+    sums = [F.bool_or(F.col("w").isNotNull()).alias("trained"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(width)]]
+    if whole:
+        return near.groupBy(*keep).agg(*sums)
     far = tokens.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
     rest = model.weights.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
     far = lookup_join(far, rest.select(*keys, "w"), keys, "inner")
-    return (
-        near.unionByName(far)
-        .groupBy(*keep)
-        .agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(width)])
-    )
+    return near.unionByName(far).groupBy(*keep).agg(*sums)
 
 
 def apply_naive_bayes(
@@ -163,22 +164,13 @@ def apply_naive_bayes(
     """
     scores = naive_bayes_scores(entries, model, carry)
     values = F.array(*[F.col(f"s{i}") for i in range(len(model.labels))])
-    scored = scores.withColumn("_s", values).select(
-        "dictionary",
-        "id",
-        *carry,
-        best_label(F.col("_s"), label_array(model.labels)).alias("label_out"),
-        best_probability(F.col("_s")).alias("prob_out"),
-    )
-    trained = model.weights.filter(F.col("token") == _PRIOR).select("dictionary")
-    others = entries.join(trained, "dictionary", "left_anti").select(
+    return scores.withColumn("_s", values).select(
         "dictionary",
         "id",
         *carry,
-        F.lit(None).cast("string").alias("label_out"),
-        F.lit(None).cast("double").alias("prob_out"),
+        F.when(F.col("trained"), best_label(F.col("_s"), label_array(model.labels))).alias("label_out"),
+        F.when(F.col("trained"), best_probability(F.col("_s"))).alias("prob_out"),
     )
-    return scored.unionByName(others)
 
 
 def encode_text(entries: DataFrame, buckets: int = 1 << 18) -> DataFrame:

@@ -188,3 +188,16 @@ def test_own_model_is_given_bounded_batches(spark):
     assert all(r["at"].timestamp() == r["id"] for r in found)
     assert max(int(r.label_out) for r in found) <= classify.BATCH_BYTES
     assert {r.prob_out for r in found} == {None, 0.5}
+
+
+def test_model_within_the_bound_needs_one_pass(spark, train, texts, tmp_path):
+    train_naive_bayes(train, ["animal", "food"]).save(str(tmp_path / "model"))
+    model = NaiveBayes.load(spark, str(tmp_path / "model"))
+    others = texts.withColumn("dictionary", F.lit("untrained")).limit(3)
+    scored = apply_naive_bayes(texts.unionByName(others).localCheckpoint(), model, ["word"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
+    rows = scored.collect()
+    untrained = [r for r in rows if r["dictionary"] == "untrained"]
+    assert len(rows) == len(TEXTS) + 3 and len(untrained) == 3
+    assert all(r["label_out"] is None and r["prob_out"] is None for r in untrained)
