@@ -88,3 +88,20 @@ def test_packed_pieces_hold_the_library_ids(spark):
             want.append((i, piece, start, len(part) // 4, zlib.crc32(part)))
     packed = packing.pack_documents(make(spark, list(enumerate(texts))), name)
     assert of(packed, "doc_id", "piece", "start", "length", "ids_crc32") == sorted(want, key=repr)
+
+
+def test_plain_words_go_to_the_model_and_lines_together(monkeypatch):
+    encoder = tokens.ByteLevelEncoder("byte_bpe_50k.json")
+    asked = []
+    plain = encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda text: asked.append(text) or plain(text))
+    words = ["plain", "été", "İstanbul", "ªºµß", "Łódź", "ǅ", "mañana", "a1b2", "can't", "日本", "x٣", "end-", "ʰa", "ͅb"]
+    draw = random.Random(3)
+    texts = ["\n".join(" ".join(draw.choices(words, k=6)) for _ in range(5)) for _ in range(60)]
+    texts += ["first " + " ".join(words[:7]), "one. two, three.\nfour ,five\n.six", "a\n'll b\n've"]
+    got = encoder.encode(texts)
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == want
+    # one call for all words with other signs, one for all lines, one for each first piece and odd one
+    assert not any(t.strip() in ("plain", "été", "mañana") and t[0] == " " for t in asked)
+    assert sum(t.startswith("\n") for t in asked) <= 1 + sum(t.startswith(("\n'", "\n.")) for t in asked)
