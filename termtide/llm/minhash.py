@@ -1,11 +1,12 @@
 """Near-duplicate detection by an inverted join on MinHash coordinates.
 
 A document's set of word shingles has a signature of ``COORDINATES`` smallest
-hashes. Every coordinate with its value names a posting list of the documents
-that have it. Documents similar enough agree in at least ``match_threshold``
-coordinates but with negligible probability, and then, in any fixed order of the
-lists, their first ``COORDINATES - match_threshold + 1`` lists (the prefix) have
-one in common. Lists are ordered by length, shortest first, so that the long lists
+hashes. Every two neighbouring coordinates with their values name a posting list of the
+documents that have both: one value alone is shared by all documents that have one common
+shingle, and lists of such chance meetings grow with the square of the data. Documents similar
+enough share at least ``match_threshold`` of these lists but with negligible probability, and
+then, in any fixed order of the lists, their first ``lists - match_threshold + 1`` ones (the
+prefix) have one in common. Lists are ordered by length, shortest first, so that the long lists
 of common shingles are skipped: collisions in them are only counted, on sketches of the
 signatures, for pairs that meet in a shorter one.
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termtide.llm.common import by_size, byte_pieces, forget
+from termtide.llm.common import by_size, byte_pieces, forget, text_batches
 from termtide.llm.components import components
 from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
@@ -47,9 +48,9 @@ LEADER_ROUNDS = 4
 _CELLS = 1 << 22
 _BLOCK = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 100_000
 # Cells of a parity. Sets of far more shingles than that are told apart by their sketches alone.
-PARITY_BITS = 1024
+PARITY_BITS = 512
 
 
 def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
@@ -126,7 +127,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         known: dict[bytes, int] = {}
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", 2 << 20):
             data, offsets = byte_pieces(batch.column("text"))
             data = data.tobytes()
             counts, digests, sigs, parities = [], [], [], []
@@ -148,26 +149,37 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def _keys(sigs: list[bytes]) -> np.ndarray:
-    """A 64-bit name of each coordinate and value: rows of ``COORDINATES``."""
-    values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-    x = (values + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))) * _MIX
-    x ^= x >> np.uint64(32)
-    return x * np.uint64(0xC2B2AE3D27D4EB4F)
+def list_width(similarity: float) -> int:
+    """How many coordinates name a list: two, unless pairs of this similarity could then share none."""
+    return 2 if (1 - similarity**2) ** (COORDINATES // 2) <= MISSED else 1
+
+
+def _keys(sigs: list[bytes], width: int) -> np.ndarray:
+    """A 64-bit name of every ``width`` coordinates and their values: rows of ``COORDINATES // width``."""
+    values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES // width, width).astype(np.uint64)
+    x = np.arange(COORDINATES // width, dtype=np.uint64) << np.uint64(32)
+    for i in range(width):
+        x = (x + values[:, :, i]) * _MIX
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return x
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(42)).astype(np.int64)
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(_CELLS, np.int32)
-    for batch in batches:
-        if batch.num_rows:
-            counts += np.bincount(_cells(_keys(batch.column(0).to_pylist())).ravel(), minlength=_CELLS).astype(np.int32)
-    counts = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, _BLOCK)
-    for block in np.flatnonzero(counts.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([counts[block].tobytes()])], ["block", "counts"])
+def _count_cells(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_CELLS, np.int32)
+        for batch in batches:
+            if batch.num_rows:
+                counts += np.bincount(_cells(_keys(batch.column(0).to_pylist(), width)).ravel(), minlength=_CELLS).astype(np.int32)
+        counts = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, _BLOCK)
+        for block in np.flatnonzero(counts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([counts[block].tobytes()])], ["block", "counts"])
+
+    return run
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,30 +202,33 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def list_lengths(sigs: DataFrame) -> np.ndarray:
+def list_lengths(sigs: DataFrame, width: int) -> np.ndarray:
     """About how long each posting list is, as a logarithm by the cell its name falls in: 4 MB at any size of
     the data. It only serves to order the lists, the same for all documents."""
-    blocks = sigs.mapInArrow(_count_cells, "block bigint, counts binary").repartition("block").sortWithinPartitions("block")
+    blocks = sigs.mapInArrow(_count_cells(width), "block bigint, counts binary").repartition("block").sortWithinPartitions("block")
     logs = np.zeros(_CELLS, np.uint8)
     for row in blocks.mapInArrow(_add_cells, "block bigint, logs binary").collect():
         logs[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.logs, np.uint8)
     return logs
 
 
-def postings(reps: DataFrame, threshold: int) -> DataFrame:
-    """``key, rep``: each representative (``rep, sig``) under the lists of its prefix."""
-    prefix = COORDINATES - threshold + 1
-    lengths = reps.sparkSession.sparkContext.broadcast(list_lengths(reps.select("sig")))
+def postings(reps: DataFrame, similarity: float) -> DataFrame:
+    """``key, rep, n_shingles``: each representative (``rep, n_shingles, sig``) under the lists of its prefix."""
+    width = list_width(similarity)
+    n = COORDINATES // width
+    prefix = n - match_threshold(similarity**width, n) + 1
+    lengths = reps.sparkSession.sparkContext.broadcast(list_lengths(reps.select("sig"), width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(batch.column("sig").to_pylist())
+                keys = _keys(batch.column("sig").to_pylist(), width)
                 order = np.lexsort((keys, lengths.value[_cells(keys)]))[:, :prefix]
                 names = np.take_along_axis(keys, order, axis=1).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.repeat(batch.column("rep").to_numpy(), prefix))], ["key", "rep"])
+                own = [pa.array(np.repeat(batch.column(c).to_numpy(), prefix)) for c in ("rep", "n_shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(names), *own], ["key", "rep", "n_shingles"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key bigint, rep bigint")
+    return reps.select("rep", "n_shingles", "sig").mapInArrow(run, "key bigint, rep bigint, n_shingles bigint")
 
 
 _SKETCH = [f"s{i}" for i in range(4)]
@@ -304,13 +319,13 @@ class _Search:
     def __init__(self, docs: DataFrame, reps: DataFrame, size: int, percent: int):
         self.size, self.percent = size, percent
         self.texts = docs.select(F.col("doc_id").alias("rep"), "text")
-        self.sketches = stage(sketches(reps), "sketches")
-        lists = stage(postings(reps, match_threshold(percent / 100)), "postings")
+        lists = stage(postings(reps, percent / 100), "postings")
         # lists of one member join nobody
         shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        sizes = reps.select("rep", "n_shingles")
-        self.lists = stage(lookup_join(lookup_join(lists, shared, ["key"], "inner"), sizes, ["rep"], "inner"), "shared-postings")
-        self.labels = None
+        self.lists = stage(lookup_join(lists, shared, ["key"], "inner"), "shared-postings")
+        # nobody else is compared
+        self.sketches = stage(lookup_join(sketches(reps), self.lists.select("rep").distinct(), ["rep"], "inner"), "sketches")
+        self.labels = None  # of representatives that are not the label of their component themselves
 
     def labelled(self) -> DataFrame:
         if self.labels is None:
@@ -327,11 +342,12 @@ class _Search:
 
     def add(self, links: DataFrame) -> bool:
         """Takes links in and connects; says whether there were any."""
-        links = stage(links, "links")
+        with text_batches(links.sparkSession):
+            links = stage(links, "links")
         if not links.head(1):
             return False
         if self.labels is None:
-            self.labels = stage(components(links), "labels")
+            self.labels = stage(components(links).filter("node <> label"), "labels")
             return True
         known = self.labels.select(F.col("node").alias("rep"), "label")
         a = lookup_join(links.withColumnRenamed("a", "rep"), known, ["rep"], "left")
@@ -340,7 +356,7 @@ class _Search:
         merged = stage(components(both), "merged")
         tops = merged.select(F.col("node").alias("label"), F.col("label").alias("_top"))
         moved = lookup_join(self.labels, tops, ["label"], "left").select("node", F.coalesce("_top", "label").alias("label"))
-        fresh = merged.join(self.labels, "node", "left_anti")
+        fresh = merged.filter("node <> label").join(self.labels, "node", "left_anti")
         self.labels = stage(moved.unionByName(fresh), "labels")
         return True
 
@@ -403,7 +419,8 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str =
 
 def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     """``near_groups`` of ``doc_id, text`` where each row has an id of its own."""
-    signed = stage(sign(own, size), "signatures")
+    with text_batches(own.sparkSession):
+        signed = stage(sign(own, size), "signatures")
     filled = signed.filter("n_shingles > 0")
     first = F.min(F.struct("doc_id", "n_shingles", "sig", "parity"))
     columns = [F.col("_f.doc_id").alias("rep"), "_f.n_shingles", "_f.sig", "_f.parity"]

@@ -449,3 +449,33 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert all(r.n_chars == len(r.text) and r.key == "k" for r in got)
     same = spark.createDataFrame([(3, "same text", "k"), (3, "same text", "k"), (3, "same  text", "k"), (3, "other", "k"), (4, "sametext", "k")], "doc_id bigint, text string, key string")
     assert sorted(tuple(r) for r in corpus_pipeline.drop_exact(spark, same, "").collect()) == [(3, "other", "k"), (3, "same  text", "k")]
+
+
+@pytest.mark.parametrize("percent", [20, 50, 60, 80, 95, 100])
+def test_lists_of_the_prefix_miss_a_pair_once_in_a_million(percent):
+    s = Fraction(percent, 100)
+    width = minhash.list_width(percent / 100)
+    n = minhash.COORDINATES // width
+    k, p = minhash.match_threshold(percent / 100 * (percent / 100 if width == 2 else 1), n), s**width
+    missed = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    assert missed <= Fraction(1, 10**6)
+    assert width == (2 if percent >= 60 else 1)
+
+
+def test_one_common_coordinate_is_no_common_list(spark):
+    draw = np.random.default_rng(4)
+    sigs = draw.integers(0, 1 << 32, (40, minhash.COORDINATES), dtype=np.uint32)
+    sigs[:, ::2] = sigs[0, ::2]  # one of every two values is shared by all
+    rows = [(i, 100, bytearray(s.tobytes())) for i, s in enumerate(sigs)]
+    lists = minhash.postings(spark.createDataFrame(rows, "rep bigint, n_shingles bigint, sig binary"), 0.8)
+    assert lists.groupBy("key").count().filter("count > 1").count() == 0
+
+
+def test_texts_are_handed_over_a_few_at_a_time(spark):
+    from termtide.llm.common import TEXT_ROWS, text_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with text_batches(spark):
+        assert int(spark.conf.get(name)) == TEXT_ROWS
+    assert spark.conf.get(name) == before
