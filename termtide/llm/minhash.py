@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termtide.llm.common import by_size, byte_pieces, forget, text_batches
+from termtide.llm.bitmaps import mark_among
+from termtide.llm.common import by_size, byte_pieces, free_name, released, text_batches
 from termtide.llm.components import components
 from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
@@ -125,7 +126,6 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, sig, parity``: size and 128-bit digest of the shingle set, its signature and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         known: dict[bytes, int] = {}
         for batch in by_size(batches, "text", 2 << 20):
             data, offsets = byte_pieces(batch.column("text"))
@@ -146,7 +146,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 ["doc_id", "n_shingles", "d1", "d2", "sig", "parity"],
             )
 
-    return docs.mapInArrow(run, _SIGNED)
+    return docs.mapInArrow(released(run), _SIGNED)
 
 
 def list_width(similarity: float) -> int:
@@ -174,7 +174,7 @@ def _count_cells(width: int):
         counts = np.zeros(_CELLS, np.int32)
         for batch in batches:
             if batch.num_rows:
-                counts += np.bincount(_cells(_keys(batch.column(0).to_pylist(), width)).ravel(), minlength=_CELLS).astype(np.int32)
+                np.add.at(counts, _cells(_keys(batch.column(0).to_pylist(), width)).ravel(), 1)
         counts = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, _BLOCK)
         for block in np.flatnonzero(counts.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([counts[block].tobytes()])], ["block", "counts"])
@@ -205,7 +205,7 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def list_lengths(sigs: DataFrame, width: int) -> np.ndarray:
     """About how long each posting list is, as a logarithm by the cell its name falls in: 4 MB at any size of
     the data. It only serves to order the lists, the same for all documents."""
-    blocks = sigs.mapInArrow(_count_cells(width), "block bigint, counts binary").repartition("block").sortWithinPartitions("block")
+    blocks = sigs.mapInArrow(released(_count_cells(width)), "block bigint, counts binary").repartition("block").sortWithinPartitions("block")
     logs = np.zeros(_CELLS, np.uint8)
     for row in blocks.mapInArrow(_add_cells, "block bigint, logs binary").collect():
         logs[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.logs, np.uint8)
@@ -228,7 +228,7 @@ def postings(reps: DataFrame, similarity: float) -> DataFrame:
                 own = [pa.array(np.repeat(batch.column(c).to_numpy(), prefix)) for c in ("rep", "n_shingles")]
                 yield pa.RecordBatch.from_arrays([pa.array(names), *own], ["key", "rep", "n_shingles"])
 
-    return reps.select("rep", "n_shingles", "sig").mapInArrow(run, "key bigint, rep bigint, n_shingles bigint")
+    return reps.select("rep", "n_shingles", "sig").mapInArrow(released(run), "key bigint, rep bigint, n_shingles bigint")
 
 
 _SKETCH = [f"s{i}" for i in range(4)]
@@ -250,7 +250,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(reps: DataFrame) -> DataFrame:
     """``rep, n_shingles``, the sketch and the parity of each representative."""
     numbers = ", ".join(f"{c} bigint" for c in ("rep", "n_shingles", *_SKETCH, *_PARITY))
-    return reps.select("rep", "n_shingles", "sig", "parity").mapInArrow(_sketched, numbers)
+    return reps.select("rep", "n_shingles", "sig", "parity").mapInArrow(released(_sketched), numbers)
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -334,11 +334,13 @@ class _Search:
         return lookup_join(self.lists, known, ["rep"], "left").withColumn("label", F.coalesce("_l", "rep")).drop("_l")
 
     def confirmed(self, close: DataFrame) -> DataFrame:
-        """Of the staged pairs ``a, b``, those whose sets have the similarity."""
-        ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
-        texts = self.texts.join(ends, "rep", "left_semi").select("rep", F.col("text").cast("binary").alias("text"))
-        paired = _with(_with(close, texts, "a", {"text": "text_a"}), texts, "b", {"text": "text_b"})
-        return paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.size, self.percent), "a bigint, b bigint")
+        """Of the staged pairs ``a, b``, those whose sets have the similarity. All texts are read once; only
+        those that may be of a pair are written, and shuffled on the side where they may be."""
+        texts = mark_among(mark_among(self.texts, "rep", close.select("a"), "of_a"), "rep", close.select("b"), "of_b")
+        with text_batches(close.sparkSession):
+            texts = stage(texts.filter("of_a or of_b").withColumn("text", F.col("text").cast("binary")), "texts")
+        paired = _with(_with(close, texts.filter("of_a"), "a", {"text": "text_a"}), texts.filter("of_b"), "b", {"text": "text_b"})
+        return paired.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirmed(self.size, self.percent)), "a bigint, b bigint")
 
     def add(self, links: DataFrame) -> bool:
         """Takes links in and connects; says whether there were any."""
@@ -444,7 +446,13 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies, with the columns of ``docs``."""
+    """One document, that of the smallest id, of each group of near copies, with the columns of ``docs``.
+
+    Documents that are not among those that go, by a bitmap of these, are not shuffled.
+    """
     groups = near_groups(docs, size, percent, id_col, text)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = stage(groups.filter("not kept").select(F.col("doc_id").alias(id_col)), "near-copies")
+    maybe = free_name(docs, "maybe_gone")
+    marked = mark_among(docs, id_col, gone, maybe)
+    left = marked.filter(F.col(maybe)).join(gone, id_col, "left_anti")
+    return marked.filter(~F.col(maybe)).unionByName(left).select(*[F.col(f"`{c}`") for c in docs.columns])
