@@ -11,7 +11,7 @@ work and changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termtide.llm.common import filled, free_name, without_spaces
+from termtide.llm.common import filled, free_name, released, without_spaces
 from termtide.operators.joins import lookup_join
 from termtide.session import stage
 
@@ -63,10 +63,10 @@ def _get(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 _BLOCKS = "block bigint, once binary, twice binary"
 
 
-def _fill(cells: int, probes: int):
+def _fill(cells: int, probes: int, of: Callable | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
-        for batch in batches:
+        for batch in batches if of is None else of(batches):
             hashes = batch.column(0).to_numpy(zero_copy_only=False)
             for numbers in cell_numbers(hashes, cells, probes):
                 own, n = np.unique(numbers, return_counts=True)
@@ -105,10 +105,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def repeat_filter(hashes: DataFrame, cells: int, probes: int = PROBES) -> np.ndarray:
-    """The bits of the cells set more than once by the one column of ``hashes``."""
+def repeat_filter(hashes: DataFrame, cells: int, probes: int = PROBES, of: Callable | None = None) -> np.ndarray:
+    """The bits of the cells set more than once by the one column of ``hashes``, or by that of the batches which
+    ``of`` makes of its batches: in the same worker, as two steps one after the other would take two for each task."""
     merged = (
-        hashes.mapInArrow(_fill(cells, probes), _BLOCKS)
+        hashes.mapInArrow(released(_fill(cells, probes, of)), _BLOCKS)
         .repartition("block")
         .sortWithinPartitions("block")
         .mapInArrow(_merge, "block bigint, twice binary")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termtide.llm import tokens
-from termtide.llm.common import forget
+from termtide.llm.common import forget, text_batches
 from termtide.session import scratch_path, stage
 
 SEQUENCE_TOKENS = 2048
@@ -282,7 +282,8 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     bad = F.raise_error(F.lit("a piece's length is not from 1 to the length of a sequence"))
     checked = F.when(F.col("length").between(1, capacity), F.col("length").cast("bigint")).otherwise(bad.cast("bigint"))
     plain = pieces.drop("sequence_id", "offset", "_item")
-    numbered = stage(plain.withColumn("_item", F.monotonically_increasing_id()).withColumn("length", checked), "pieces")
+    with text_batches(pieces.sparkSession):  # the pieces may be cut from texts here
+        numbered = stage(plain.withColumn("_item", F.monotonically_increasing_id()).withColumn("length", checked), "pieces")
     items = numbered.select(F.col("_item").alias("item"), "length")
     short = items.filter(F.col("length") <= BUNDLED)
     n = _ranges(short.count())

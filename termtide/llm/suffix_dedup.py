@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termtide.llm.common import by_size, byte_pieces
+from termtide.llm.common import by_size, byte_pieces, released, text_batches
 from termtide.llm.exact_dedup import cell_numbers, repeat_filter
 from termtide.llm.suffix_sort import suffix_array
 from termtide.llm.ordering import own_ids
@@ -47,7 +47,7 @@ GROUP_CHUNKS = 1 << 16
 ARRAY_BYTES = 400_000
 PROBES = 2
 MAX_CELLS = 1 << 27
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _NO_ID = -(1 << 63)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -275,7 +275,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_spans(fetched: DataFrame) -> DataFrame:
-    windows = stage(fetched.mapInArrow(_window_rows, "w1 bigint, w2 bigint, doc_id bigint, start int"), "windows")
+    windows = stage(fetched.mapInArrow(released(_window_rows), "w1 bigint, w2 bigint, doc_id bigint, start int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("_f"), F.count(F.lit(1)).alias("n"))
     again = lookup_join(windows, first.filter("n > 1").drop("n"), ["w1", "w2"], "inner")
     later = again.filter((F.col("doc_id") != F.col("_f.doc_id")) | (F.col("start") != F.col("_f.start")))
@@ -291,8 +291,9 @@ def repeated_spans(docs: DataFrame, group_chunks: int = GROUP_CHUNKS) -> DataFra
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     # some eight cells for each chunk, of which there is one in some 35 bytes
     cells = 1 << (max(1 << 17, min(MAX_CELLS, size // 4)) - 1).bit_length()
-    bits = context.broadcast(repeat_filter(docs.mapInArrow(_piece_hashes, "key bigint"), cells, PROBES))
-    found = stage(docs.mapInArrow(_repeated_chunks(bits, cells), _CHUNKS), "chunks")
+    with text_batches(docs.sparkSession):
+        bits = context.broadcast(repeat_filter(docs.select("text"), cells, PROBES, _piece_hashes))
+        found = stage(docs.mapInArrow(released(_repeated_chunks(bits, cells)), _CHUNKS), "chunks")
     each = ["key", "c1", "c2"]
     first = found.groupBy(*each).agg(F.min(F.struct("doc_id", "start", "ahead", "size")).alias("_f"), F.count(F.lit(1)).alias("n"))
     first = stage(first, "first-chunks")
@@ -306,10 +307,10 @@ def repeated_spans(docs: DataFrame, group_chunks: int = GROUP_CHUNKS) -> DataFra
 
     def fetched(some: DataFrame) -> DataFrame:
         listed = some.groupBy("_f.doc_id").agg(F.collect_list(F.struct("key", "_f.start", "_f.ahead", "_f.size")).alias("chunks"))
-        return docs.join(listed, "doc_id").mapInArrow(_fetch, "key bigint, doc_id bigint, start int, ahead int, data binary")
+        return docs.join(listed, "doc_id").mapInArrow(released(_fetch), "key bigint, doc_id bigint, start int, ahead int, data binary")
 
     usual = fetched(mixed.filter(F.col("kinds") <= group_chunks)).repartition("key").sortWithinPartitions("key")
-    spans = spans.unionByName(usual.mapInArrow(_array_spans, _SPANS))
+    spans = spans.unionByName(usual.mapInArrow(released(_array_spans), _SPANS))
     large = mixed.filter(F.col("kinds") > group_chunks)
     if large.head(1):
         spans = spans.unionByName(_window_spans(fetched(large)))
@@ -366,5 +367,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gr
     spans = repeated_spans(own, group_chunks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     joined = own.join(spans, "doc_id", "left")
     schema = "doc_id bigint, kept binary, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    cut = joined.mapInArrow(_cut, schema)
+    cut = joined.mapInArrow(released(_cut), schema)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

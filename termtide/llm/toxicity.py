@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termtide.llm.common import by_size, filled, forget
+from termtide.llm.common import by_size, filled, released
 from termtide.session import stage
 
 # The bounded sample of labelled rows that a lexicon is learned from, in hash order.
@@ -129,7 +129,6 @@ def in_sample(labels: DataFrame) -> DataFrame:
 
 
 def _folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forget()
     for batch in by_size(batches, "text"):
         texts = [fold(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(texts), batch.column("toxic")], ["folded", "toxic"])
@@ -247,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # at most SAMPLE_ROWS rows of two numbers
     texts = docs.select("doc_id", filled("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.select("text", F.col("toxic").cast("int").alias("toxic"))
-    sample = stage(rows.mapInArrow(_folded_rows, "folded string, toxic int"), "toxic-sample")
+    sample = stage(rows.mapInArrow(released(_folded_rows), "folded string, toxic int"), "toxic-sample")
     total = {r.toxic == 1: r["count"] for r in sample.groupBy(F.expr("int(toxic = 1)").alias("toxic")).count().collect()}
     all_t, all_n = total.get(True, 0), total.get(False, 0)
     if not all_t or not all_n:
@@ -260,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     terms = _chosen(rows, all_t, all_n, tested)
     if not terms:
         return Lexicon()
-    phrases = sample.mapInArrow(_phrases(terms), "phrase string, weight double, toxic int")
+    phrases = sample.mapInArrow(released(_phrases(terms)), "phrase string, weight double, toxic int")
     mild = phrases.groupBy("phrase", "weight").agg(
         F.sum(F.expr("int(toxic = 1)")).alias("t"), F.sum(F.expr("int(toxic <> 1)")).alias("n")
     )
@@ -290,11 +289,10 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "toxicity", text: str
     place = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         automaton = lexicon.automaton()
         for batch in by_size(batches, text):
             x = np.array([density(fold(t or ""), automaton) for t in batch.column(place).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(lexicon.slope * x + lexicon.offset, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, column])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(released(run), schema)
