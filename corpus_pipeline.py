@@ -61,14 +61,16 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     shipped(spark)
     rows, own = with_own_id(docs)
-    cut = suffix_dedup.drop_repeats(rows.select(own, "text"), id_col=own).filter("n_removed > 0")
-    left = cut.select(F.col("doc_id").alias(own), F.col("kept_text").alias("_kept"))
-    joined = rows.join(left, own, "left")
-    text = F.coalesce("_kept", "text")
-    columns = {"text": text}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast("bigint")
-    return joined.withColumns(columns).select(*docs.columns)
+    no_text = free_name(rows, "no_text")
+    others = [c for c in docs.columns if c != "text"]
+    cut = suffix_dedup.drop_repeats(rows.withColumn(no_text, F.col("text").isNull()), id_col=own, also=[*others, no_text])
+    was_cut = F.col("n_removed") > 0
+    columns = {c: F.col("also").getField(c) for c in others}
+    # what stays of a text that nothing went from is the text
+    columns["text"] = F.when(was_cut, F.col("kept_text")).when(~F.col("also").getField(no_text), F.col("kept").cast("string"))
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(was_cut, F.length("kept_text")).otherwise(columns["n_chars"]).cast("bigint")
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ single suffix array, so the strings are dealt out first, by content:
 1. Every string of ``LENGTH`` bytes is represented by the ``GRAM``-byte piece in it
    with the smallest hash. Neighbouring strings share theirs; a run of them is one
    chunk of text. Equal strings have the same piece, at the same place, and meet.
-2. A counting Bloom filter over the pieces' hashes finds those that may repeat; other
-   chunks hold nothing repeated and go no further.
-3. Chunks that repeat whole are told by a 128-bit hash: each but the first goes.
-   This combines before the shuffle, so groups of copies stay small.
+2. Chunks that repeat whole are told by 128 bits, the hashes of the piece and of the
+   chunk: each but the first goes. What repeats within a slice of texts is decided where
+   it is read, so that a slice sends on one chunk of a kind; the others meet in one
+   shuffle, by ranges of both hashes, which parts neither a kind of chunk nor, but at the
+   ends of the ranges, the kinds around a piece.
+3. Pieces around which there is one chunk only hold nothing else that repeats.
 4. What is left are first occurrences of different chunks around the same piece. They
    are cut to what any other of the group has in common with them, and equal cuts are
    joined. Over the rest of a task's groups a suffix array is built by grouping
@@ -25,16 +27,16 @@ combines before its shuffle, with the same result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termtide.llm.common import by_size, byte_pieces, released, text_batches
-from termtide.llm.exact_dedup import cell_numbers, repeat_filter
 from termtide.llm.suffix_sort import suffix_array
 from termtide.llm.ordering import own_ids
 from termtide.operators.joins import lookup_join
@@ -45,9 +47,8 @@ GRAM = 32
 GROUP_CHUNKS = 1 << 16
 # Bytes of the strings that go into one suffix array, but for a group that alone has more.
 ARRAY_BYTES = 400_000
-PROBES = 2
-MAX_CELLS = 1 << 27
 _SLICE = 1 << 20
+_ROWS = 1 << 16  # chunks looked at together
 _NO_ID = -(1 << 63)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -107,37 +108,83 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashes[piece], first, last + LENGTH, piece, text[first]
 
 
-def _piece_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_size(batches, "text", _SLICE):
-        found = chunks(*byte_pieces(batch.column("text")))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
-
-
-_CHUNKS = "key bigint, c1 bigint, c2 bigint, doc_id bigint, start int, ahead int, size int"
-
+_CHUNKS = "key bigint, whole bigint, doc_id bigint, start int, ahead int, size int"
+_GONE = -1  # ``ahead`` of what is known to go; such a row has no piece
+_NAMES = ["key", "whole", "doc_id", "start", "ahead", "size"]
 
-def _repeated_chunks(bits, cells: int):
-    """Chunks whose piece may repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text", _SLICE):
-            data, offsets = byte_pieces(batch.column("text"))
-            key, start, end, piece, text = chunks(data, offsets)
-            found = np.ones(len(key), bool)
-            for numbers in cell_numbers(key, cells, PROBES):
-                found &= (bits.value[numbers >> 3] >> (numbers & 7).astype(np.uint8)) & 1 > 0
-            key, start, end, piece, text = (x[found] for x in (key, start, end, piece, text))
-            view = memoryview(data)
-            digests = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
-            halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-            ids = batch.column("doc_id").take(pa.array(text))
-            whole = [pa.array(x.astype(np.int32)) for x in (start - offsets[text], piece - start, end - start)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), ids, *whole],
-                ["key", "c1", "c2", "doc_id", "start", "ahead", "size"],
-            )
-
-    return run
+def _slice_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first chunk of each kind in a slice of texts. The later ones go, as spans with any ``key``,
+    those that touch as one."""
+    for batch in by_size(batches, "text", _SLICE):
+        data, offsets = byte_pieces(batch.column("text"))
+        key, begin, end, piece, text = chunks(data, offsets)
+        view = memoryview(data)
+        whole = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+        doc = batch.column("doc_id").to_numpy()[text]
+        order = np.lexsort((begin - offsets[text], doc, whole, key))
+        gone = np.zeros(len(key), bool)
+        gone[order[1:]] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+        # both ends of the chunks of a text ascend
+        later, stay = np.flatnonzero(gone), ~gone
+        apart = (text[later][1:] != text[later][:-1]) | (begin[later][1:] > end[later][:-1])
+        head, tail = later[np.r_[True, apart][: len(later)]], later[np.r_[apart, True][: len(later)]]
+        start, ahead, size = begin - offsets[text], piece - begin, end - begin
+        columns = [
+            np.append(key[stay], (whole[head] + begin[head].astype(np.uint64) * _C1) * _C2).view(np.int64),
+            np.append(whole[stay], whole[head]).view(np.int64),
+            np.append(doc[stay], doc[head]),
+            np.append(start[stay], start[head]).astype(np.int32),
+            np.append(ahead[stay], np.full(len(head), _GONE)).astype(np.int32),
+            np.append(size[stay], end[tail] - begin[head]).astype(np.int32),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of some ``_ROWS`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _ROWS:
+            yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in _NAMES]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in _NAMES]
+
+
+def _placed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of chunks, sorted: those that go, and the first ones of each kind where there is another kind
+    around the piece. The range may have parted its first and its last piece from others of their kinds, so these stay too."""
+
+    def rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
+
+    last: tuple | None = None  # key and hash of the row before
+    held: list[np.ndarray] | None = None  # the first chunk before, of which the next one is not known
+    wanted = True  # whether it stays whatever comes next; the first of the range does
+    for columns in _gathered(batches):
+        known = columns[4] == _GONE
+        yield rows([c[known] for c in columns])
+        key, whole, doc, start, ahead, size = columns = [c[~known] for c in columns]
+        if not len(key):
+            continue
+        new = np.r_[last != (key[0], whole[0]), (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]
+        last = key[-1], whole[-1]
+        yield rows([key[~new], whole[~new], doc[~new], start[~new], np.full_like(ahead[~new], _GONE), size[~new]])
+        first = [c[new] for c in columns]
+        if held is not None:
+            first = [np.append(h, c) for h, c in zip(held, first, strict=True)]
+        if not len(first[0]):
+            continue
+        same = first[0][1:] == first[0][:-1]
+        mixed = np.r_[wanted, same] | np.r_[same, False]
+        yield rows([c[:-1][mixed[:-1]] for c in first])
+        held, wanted = [c[-1:] for c in first], bool(mixed[-1])
+    if held is not None:
+        yield rows(held)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,25 +332,18 @@ def _window_spans(fetched: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, group_chunks: int = GROUP_CHUNKS) -> DataFrame:
     """``doc_id, start, size`` in bytes of what goes; spans of a document may overlap.
 
-    ``docs`` has ``doc_id`` (once each) and ``text``.
+    ``docs`` has ``doc_id`` (once each) and ``text``. Further columns go with the texts to Python, so that a
+    later join by ``doc_id`` with all of ``docs`` reuses the shuffle.
     """
-    context = docs.sparkSession.sparkContext
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    # some eight cells for each chunk, of which there is one in some 35 bytes
-    cells = 1 << (max(1 << 17, min(MAX_CELLS, size // 4)) - 1).bit_length()
     with text_batches(docs.sparkSession):
-        bits = context.broadcast(repeat_filter(docs.select("text"), cells, PROBES, _piece_hashes))
-        found = stage(docs.mapInArrow(released(_repeated_chunks(bits, cells)), _CHUNKS), "chunks")
-    each = ["key", "c1", "c2"]
-    first = found.groupBy(*each).agg(F.min(F.struct("doc_id", "start", "ahead", "size")).alias("_f"), F.count(F.lit(1)).alias("n"))
-    first = stage(first, "first-chunks")
-    # whole repeats: all but the first
-    many = first.filter("n > 1").select(*each, F.col("_f.doc_id").alias("_doc"), F.col("_f.start").alias("_start"))
-    copies = lookup_join(found, many, each, "inner").filter("doc_id <> _doc or start <> _start")
-    spans = copies.select("doc_id", "start", "size")
+        found = docs.select("doc_id", "text").mapInArrow(released(_slice_chunks), _CHUNKS)
+        sorted_ = found.repartitionByRange("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "start")
+        placed = stage(sorted_.mapInArrow(_placed_chunks, _CHUNKS), "placed-chunks")
+    spans = placed.filter(F.col("ahead") == _GONE).select("doc_id", "start", "size")
     # different chunks around the same piece
+    first = placed.filter(F.col("ahead") != _GONE).select("key", F.struct("doc_id", "start", "ahead", "size").alias("_f"))
     kinds = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = stage(lookup_join(first.select("key", "_f"), kinds, ["key"], "inner"), "mixed-chunks")
+    mixed = stage(lookup_join(first, kinds, ["key"], "inner"), "mixed-chunks")
 
     def fetched(some: DataFrame) -> DataFrame:
         listed = some.groupBy("_f.doc_id").agg(F.collect_list(F.struct("key", "_f.start", "_f.ahead", "_f.size")).alias("chunks"))
@@ -339,33 +379,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs.append(k)
             digests.append(hashlib.sha256(raw).hexdigest())
         sizes = np.diff(offsets)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)],
-            ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        columns = [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)]
+        names = ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if _ALSO in batch.schema.names:
+            columns, names = [*columns, batch.column(_ALSO)], [*names, _ALSO]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+_ALSO = "also"
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_chunks: int = GROUP_CHUNKS) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_chunks: int = GROUP_CHUNKS, also: Sequence[str] = ()
+) -> DataFrame:
     """``doc_id, kept, kept_text, n_bytes, n_removed, n_spans, kept_sha256``: the bytes of each text that stay.
 
-    ``kept_text`` is null if all stay, and else leaves out characters of which a part went.
+    ``kept_text`` is null if all stay, and else leaves out characters of which a part went. The columns of ``docs``
+    named in ``also`` come as the fields of a struct ``also``, so that nobody needs to join them.
 
     A null text counts as empty; texts shorter than ``LENGTH`` bytes have nothing
     removed. Overlapping strings count, and all are judged on the input. A row without
     id comes before all others; rows that share an id come in the order of their texts. What stays
     of a text may begin or end within a character. An empty table gives no rows.
     """
-    apart = own_ids(docs.select(F.col(id_col).cast("bigint").alias("_own"), F.col(text).alias("text")), "_own", "text", nulls_last=False)
+    others = [F.struct(*[F.col(f"`{c}`") for c in also]).alias(_ALSO)] if also else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_own"), F.col(text).alias("text"), *others)
+    apart = own_ids(rows, "_own", "text", nulls_last=False)
     if apart is not None:
         rows, number = apart
-        cut = drop_repeats(rows, number, "text", group_chunks)
-        ids = rows.select(F.col(number).alias("doc_id"), "_own")
-        return lookup_join(cut, ids, ["doc_id"], "inner").select(F.col("_own").alias("doc_id"), *cut.columns[1:])
-    own = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID).cast("bigint")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        cut = drop_repeats(rows, number, "text", group_chunks, ["_own", *rows.columns[2:-1]])
+        return cut.select(F.col(_ALSO)["_own"].alias("doc_id"), *cut.columns[1:-1], *[F.col(_ALSO)[_ALSO].alias(_ALSO) for _ in others])
+    own = rows.select(
+        F.coalesce("_own", F.lit(_NO_ID).cast("bigint")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rows.columns[2:]
     )
     spans = repeated_spans(own, group_chunks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     joined = own.join(spans, "doc_id", "left")
     schema = "doc_id bigint, kept binary, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    if also:
+        schema = StructType([*StructType.fromDDL(schema), own.schema[_ALSO]])
     cut = joined.mapInArrow(released(_cut), schema)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
