@@ -75,6 +75,18 @@ def test_same_as_sql(spark, sql, name):
     assert ours
 
 
+def test_lexicon_csv_keeps_repeated_labels(spark, tmp_path):
+    # read without case, two languages are one label of two lines
+    rows = [(i, lang, "harbour a\nharbour b\nquay c") for i, lang in enumerate(["en", "EN", "fr", "en", "EN"])]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ours = entry.queries()["src_lexicon_csv"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.execute(entry.oracle_sql()["src_lexicon_csv"]).fetchall()
+    assert sorted((r["word"], r["labels"]) for r in ours) == [("harbour", "en|en|fr"), ("quay", "en|en")]
+    assert sorted((word, labels.lower()) for word, labels in theirs) == [("harbour", "en|en|fr"), ("quay", "en|en")]
+
+
 def test_every_query_has_sql_but_fitted_models():
     assert set(QUERIES) - set(ALL) == {"ml_apply_logistic"}
 

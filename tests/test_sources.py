@@ -48,6 +48,17 @@ def test_lexicon_csv_repeats_keep_file_order(spark, write):
     assert as_dict(label_lists(lexicon)) == {"w": ["b", "a"]}
 
 
+def test_lexicon_csv_lists_with_repeats(spark, write):
+    text = "W,b\nw,a\nv,c\nw,B\nv,c\n" + "".join(f"w,l{i % 3}\n" for i in range(600))
+    path = write("lex.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        lists = as_dict(label_lists(read_lexicon_csv(spark, path), repeats=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lists == {"w": ["b", "a", "b"] + ["l0", "l1", "l2"] * 200, "v": ["c", "c"]}
+
+
 def test_lexicon_csv_order_over_many_splits(spark, write):
     text = "".join(f"w{i % 7},l{i}\n" for i in range(3000))
     path = write("lex.csv", text)
